@@ -6,11 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quire.llm.minhash import op6_minhash
+from quire.llm.mixing import OP10_SQL, op10_mixing
 from quire.llm.packing import op8_packing
 from quire.llm.substring_dedup import op5_substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_substring_dedup": op5_substring_dedup,
+    "op6_minhash": op6_minhash,
     "op8_packing": op8_packing,
+    "op10_mixing": op10_mixing,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op10_mixing": OP10_SQL}
