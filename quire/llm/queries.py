@@ -6,14 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quire.llm.language import op4_language
 from quire.llm.minhash import op6_minhash
 from quire.llm.mixing import OP10_SQL, op10_mixing
 from quire.llm.packing import op8_packing
+from quire.llm.quality import op7_quality
 from quire.llm.substring_dedup import op5_substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_language": op4_language,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_minhash": op6_minhash,
+    "op7_quality": op7_quality,
     "op8_packing": op8_packing,
     "op10_mixing": op10_mixing,
 }
