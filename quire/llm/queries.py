@@ -6,14 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quire.llm.chat import OP3_SQL, op3_chat
 from quire.llm.language import op4_language
+from quire.llm.media import op1_media
 from quire.llm.minhash import op6_minhash
 from quire.llm.mixing import OP10_SQL, op10_mixing
+from quire.llm.neighbours import op2_neighbours
 from quire.llm.packing import op8_packing
 from quire.llm.quality import op7_quality
 from quire.llm.substring_dedup import op5_substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_media": op1_media,
+    "op2_neighbours": op2_neighbours,
+    "op3_chat": op3_chat,
     "op4_language": op4_language,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_minhash": op6_minhash,
@@ -21,4 +27,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op10_mixing": op10_mixing,
 }
-ORACLES: dict[str, str] = {"op10_mixing": OP10_SQL}
+ORACLES: dict[str, str] = {"op3_chat": OP3_SQL, "op10_mixing": OP10_SQL}
