@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quire.llm.chat import OP3_SQL, op3_chat
 from quire.llm.language import op4_language
+from quire.llm.licences import OP9_SQL, op9_licences
 from quire.llm.media import op1_media
 from quire.llm.minhash import op6_minhash
 from quire.llm.mixing import OP10_SQL, op10_mixing
@@ -25,6 +26,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_minhash": op6_minhash,
     "op7_quality": op7_quality,
     "op8_packing": op8_packing,
+    "op9_licences": op9_licences,
     "op10_mixing": op10_mixing,
 }
-ORACLES: dict[str, str] = {"op3_chat": OP3_SQL, "op10_mixing": OP10_SQL}
+ORACLES: dict[str, str] = {"op3_chat": OP3_SQL, "op9_licences": OP9_SQL, "op10_mixing": OP10_SQL}
