@@ -173,6 +173,8 @@ def viterbi(scores: np.ndarray, offs: np.ndarray, penalty: float) -> np.ndarray:
 
 
 def _label(model_of, penalty: float, spans: bool):
+    """Batches: id, text, and columns to hand on."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = model_of.value
         n_labels = len(model.langs)
@@ -214,6 +216,9 @@ def _label(model_of, penalty: float, spans: bool):
                         lists[text[a]].append({"lang": model.langs[labels[a]], "first_word": int(word[a]), "last_word": int(word[b])})
                     columns.append(pa.array(lists, pa.list_(pa.struct([("lang", pa.string()), ("first_word", pa.int64()), ("last_word", pa.int64())]))))
                     names.append("spans")
+                for k in range(2, batch.num_columns):
+                    columns.append(batch.column(k).slice(at, 1000))
+                    names.append(batch.schema.names[k])
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return run
@@ -252,6 +257,16 @@ def identify(docs: DataFrame, model: Model, text: str = "text", doc_id: str = "d
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(_label(shared, penalty, spans), schema)
 
 
+def identified(docs: DataFrame, model: Model, text: str = "text", penalty: float = SWITCH_PENALTY) -> DataFrame:
+    """The rows of docs, with all their columns, whose language identify() can tell."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    rows = docs.select(F.lit(0).cast("long").alias("id"), F.col(text).alias("t"), *[F.col(c).alias(n) for c, n in zip(docs.columns, names, strict=True)])
+    schema = "doc_id long, lang_pred string, score double, " + ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, docs.schema, strict=True))
+    found = rows.mapInArrow(_label(shared, penalty, False), schema).filter(F.col("lang_pred") != UNKNOWN)
+    return found.select(*[F.col(n).alias(c) for c, n in zip(docs.columns, names, strict=True)])
+
+
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return identify(docs, train(docs), spans=False).select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score")
