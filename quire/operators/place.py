@@ -168,8 +168,8 @@ def place_notes(notes: DataFrame) -> DataFrame:
         height = F.least(x["height"], high - low)
         clamp = lambda y: F.least(F.greatest(y, low), F.greatest(low, high - height))
         hit = lambda y: F.get(F.filter(done, lambda o: (y + height + 2 > o["top"]) & (o["bottom"] + 2 > y)), F.lit(0))
-        down = F.aggregate(turns, clamp(x["y"]), lambda y, _: F.coalesce(clamp(hit(y)["bottom"] + 3), y))
-        up = F.aggregate(turns, clamp(x["y"]), lambda y, _: F.coalesce(clamp(hit(y)["top"] - height - 3), y))
+        down = F.aggregate(turns, clamp(x["y"]), lambda y, _: F.when(hit(y).isNull(), y).otherwise(clamp(hit(y)["bottom"] + 3)))
+        up = F.aggregate(turns, clamp(x["y"]), lambda y, _: F.when(hit(y).isNull(), y).otherwise(clamp(hit(y)["top"] - height - 3)))
         top = F.when(hit(down).isNull(), down).otherwise(up)
         return F.concat(done, F.array(F.struct(x["seq"].alias("seq"), x["x0"].alias("x0"), top.alias("top"), x["x1"].alias("x1"), (top + height).alias("bottom"))))
 
