@@ -3,7 +3,8 @@
 Rabin-Karp values of every window of ``k`` consecutive words are dealt out by their value and counted there; the windows
 whose words also start earlier are sent back to their documents, where overlapping ones merge into maximal removal
 intervals. A map task sends each value once for every FLUSH_WINDOWS windows (the earliest, the others are known to
-repeat), so a passage of a third of all documents stays small, and values travel packed, a blob for each bucket.
+repeat), so a passage of a third of all documents stays small, and values travel packed, a blob for each bucket; what is
+found travels packed too, a blob for each bucket and block of documents.
 """
 
 from __future__ import annotations
@@ -21,11 +22,13 @@ from quire.llm import _kernels as K
 
 #: Windows that a map task holds before it sends them, and that a bucket gets on average.
 FLUSH_WINDOWS, BUCKET_WINDOWS = 1_500_000, 750_000
-#: Buckets, at most. Values of 64 bits and the bucket, from a second polynomial, tell windows apart.
-MOST_BUCKETS = 1 << 20
+#: Buckets, at most. Values of HASH_BYTES bytes and the bucket, from a second polynomial, tell windows apart: as buckets grow
+#: with the input, that is 56 bits and those of the number of buckets.
+MOST_BUCKETS, HASH_BYTES = 1 << 20, 7
 _BUCKET_BASE = 0xA24BAED4963EE407
 
-KEY = "doc_id long, text_hash long"
+#: Stands for a null doc_id: before all others.
+NULL_ID = -(1 << 63)
 
 
 def _pack(hashes: np.ndarray, docs: np.ndarray, starts: np.ndarray, keys: np.ndarray) -> bytes:
@@ -33,20 +36,24 @@ def _pack(hashes: np.ndarray, docs: np.ndarray, starts: np.ndarray, keys: np.nda
     used, docs = np.unique(docs, return_inverse=True)
     head = np.array([len(used), len(starts), len(hashes)], np.int64).tobytes()
     near = np.diff(starts.astype(np.int32), prepend=np.int32(0))
-    body = head + keys[used].tobytes() + np.diff(docs.astype(np.int32), prepend=np.int32(0)).tobytes() + near.view(np.uint8).reshape(-1, 4).T.tobytes()
+    ids = keys[used]
+    body = head + np.diff(ids[:, 0], prepend=np.int64(0)).tobytes() + ids[:, 1].tobytes() + np.diff(docs.astype(np.int32), prepend=np.int32(0)).tobytes() + near.view(np.uint8).reshape(-1, 4).T.tobytes()
     body = zstandard.ZstdCompressor(level=1).compress(body)
-    return len(body).to_bytes(4, "little") + body + hashes.tobytes()
+    return len(body).to_bytes(4, "little") + body + np.ascontiguousarray(hashes.view(np.uint8).reshape(-1, 8)[:, :HASH_BYTES]).tobytes()
 
 
 def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     n = int.from_bytes(blob[:4], "little")
     body = zstandard.ZstdDecompressor().decompress(blob[4 : 4 + n])
     n_keys, m, n_hashes = np.frombuffer(body, np.int64, 3).tolist()
-    keys = np.frombuffer(body, np.int64, 2 * n_keys, 24).reshape(-1, 2)
+    keys = np.frombuffer(body, np.int64, 2 * n_keys, 24).reshape(2, -1).T.copy()
+    np.cumsum(keys[:, 0], out=keys[:, 0])
     at = 24 + 16 * n_keys
     docs = np.cumsum(np.frombuffer(body, np.int32, m, at))
     starts = np.cumsum(np.ascontiguousarray(np.frombuffer(body, np.uint8, 4 * m, at + 4 * m).reshape(4, -1).T).view(np.int32).ravel())
-    return np.frombuffer(blob, np.uint64, n_hashes, len(blob) - 8 * n_hashes), docs, starts, keys
+    hashes = np.zeros((n_hashes, 8), np.uint8)
+    hashes[:, :HASH_BYTES] = np.frombuffer(blob, np.uint8, HASH_BYTES * n_hashes, len(blob) - HASH_BYTES * n_hashes).reshape(-1, HASH_BYTES)
+    return hashes.view(np.uint64).ravel(), docs, starts, keys
 
 
 def _earliest(hashes: np.ndarray, keys: np.ndarray, docs: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -105,47 +112,64 @@ def _windows(buckets: int, k: int, null_id: int):
     return run
 
 
-def _repeats(table: pa.Table) -> pa.Table:
-    """Of one bucket: a row for each document with windows that start later than the same words elsewhere."""
-    found = []  # (key rows, starts) pairs
-    parts = []
-    n_keys = 0
-    keys: list[np.ndarray] = []
-    known = table.column("known").to_pylist()
-    for is_known, blob in zip(known, table.column("blob"), strict=True):
-        hashes, docs, starts, own = _unpack(blob.as_py())
-        if is_known:
-            found.append((own[docs], starts))
-        else:
-            parts.append((hashes, docs + n_keys, starts))
-            keys.append(own)
-            n_keys += len(own)
-    if parts:
-        hashes, docs, starts = (np.concatenate(x) for x in zip(*parts, strict=True))
-        all_keys = np.concatenate(keys)
-        _, later = _earliest(hashes, all_keys, docs, starts)
-        found.append((all_keys[docs[later]], starts[later]))
-    if not sum(len(x) for x, _ in found):
-        return pa.table({"doc_id": pa.array([], pa.int64()), "text_hash": pa.array([], pa.int64()), "starts": pa.array([], pa.binary())})
-    rows, starts = np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found]).astype(np.int32)
+_NONE = np.zeros(0, np.uint64)
+
+
+def _repeats(blocks: int):
+    """Of one bucket: blobs, by block of documents, of the windows that start later than the same words elsewhere."""
+
+    def run(table: pa.Table) -> pa.Table:
+        found, parts, keys = [], [], []  # found: (key rows, starts) pairs
+        n_keys = 0
+        for is_known, blob in zip(table.column("known").to_pylist(), table.column("blob"), strict=True):
+            hashes, docs, starts, own = _unpack(blob.as_py())
+            if is_known:
+                found.append((own[docs], starts))
+            else:
+                parts.append((hashes, docs + n_keys, starts))
+                keys.append(own)
+                n_keys += len(own)
+        if parts:
+            hashes, docs, starts = (np.concatenate(x) for x in zip(*parts, strict=True))
+            all_keys = np.concatenate(keys)
+            _, later = _earliest(hashes, all_keys, docs, starts)
+            found.append((all_keys[docs[later]], starts[later]))
+        rows, starts = (np.concatenate(x) for x in zip(*found, strict=True))
+        block = (K.mix(rows[:, 0].astype(np.uint64)) % np.uint64(blocks)).astype(np.int32)
+        order = np.lexsort((starts, rows[:, 1], rows[:, 0], block))
+        block, rows, starts = block[order], rows[order], starts[order].astype(np.int32)
+        new_doc = np.append(True, (rows[1:] != rows[:-1]).any(axis=1)) if len(rows) else np.zeros(0, bool)
+        doc, keys_of = np.cumsum(new_doc) - 1, rows[new_doc]
+        cuts = np.flatnonzero(np.diff(block, prepend=-1))
+        blobs = [_pack(_NONE, doc[a:b], starts[a:b], keys_of) for a, b in zip(cuts, np.append(cuts[1:], len(rows))[: len(cuts)], strict=True)]
+        return pa.table({"block": pa.array(block[cuts], pa.int32()), "blob": pa.array(blobs, pa.binary())})
+
+    return run
+
+
+def _collected(table: pa.Table) -> pa.Table:
+    """Of one block: a row for each document with the first words of its later windows."""
+    parts = [_unpack(blob.as_py()) for blob in table.column("blob")]
+    rows, starts = np.concatenate([keys[docs] for _, docs, _, keys in parts]), np.concatenate([s for _, _, s, _ in parts]).astype(np.int32)
     order = np.lexsort((starts, rows[:, 1], rows[:, 0]))
     rows, starts = rows[order], starts[order]
     cuts = np.flatnonzero(np.append(True, (rows[1:] != rows[:-1]).any(axis=1)))
-    ends = np.append(cuts[1:], len(rows)).astype(np.int64)
-    blobs = [starts[a:b].tobytes() for a, b in zip(cuts, ends, strict=True)]
+    blobs = [starts[a:b].tobytes() for a, b in zip(cuts, [*cuts[1:], len(rows)], strict=True)]
     return pa.table({"doc_id": pa.array(rows[cuts, 0]), "text_hash": pa.array(rows[cuts, 1]), "starts": pa.array(blobs, pa.binary())})
 
 
-def _removed(n_words: int, starts: list[bytes] | None, k: int) -> np.ndarray:
+def _removed(n_words: int, starts: bytes | None, k: int) -> np.ndarray:
     """Which words the windows cover."""
     change = np.zeros(n_words + k + 1, np.int64)
-    at = np.unique(np.concatenate([np.frombuffer(x, np.int32) for x in starts])) if starts else np.zeros(0, np.int32)
+    at = np.unique(np.frombuffer(starts or b"", np.int32))
     change[at] += 1
     change[at + k] -= 1
     return np.cumsum(change)[:n_words] > 0
 
 
-def _cut(k: int, schema: pa.Schema):
+def _cut(k: int, names: list[str], handed: list[str]):
+    types = {"n_words": pa.int64(), "n_removed": pa.int64(), "kept_sha256": pa.string(), "removed": pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), "kept_text": pa.string()}
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             columns = {n: batch.column(batch.schema.get_field_index(n)) for n in ("__text", "__starts")}
@@ -171,22 +195,34 @@ def _cut(k: int, schema: pa.Schema):
                     left.append(raw[at_byte : int(offs[d + 1])])
                     out.append(b"".join(left).decode() if columns["__text"][at + d].is_valid else None)
             new = {"n_words": n_words, "n_removed": n_removed, "kept_sha256": digests, "removed": spans, "kept_text": out}
-            yield pa.RecordBatch.from_arrays([pa.array(new[f.name], f.type) if f.name in new else batch.column(batch.schema.get_field_index(f.name)).cast(f.type) for f in schema], schema=schema)
+            own = {n: batch.column(batch.schema.get_field_index(n)) for n in ("doc_id", *handed)}
+            columns = [own["doc_id"], *(pa.array(new[n], types[n]) for n in names), *(own[n] for n in handed)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", *names, *handed])
 
     return run
 
 
-def repeated_windows(docs: DataFrame, k: int = 20, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id, text_hash, starts): for documents with windows whose words start earlier, those windows' first words (packed 32-bit numbers; a document may have several rows)."""
-    null_id = -(1 << 63)
-    source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("text_hash"), F.col(text).alias("text"))
-    total = docs.agg(F.sum(F.octet_length(F.col(text))).alias("n")).first()["n"] or 0
-    buckets = min(MOST_BUCKETS, max(8, int(total / 6 / BUCKET_WINDOWS)))
-    packed = source.mapInArrow(_windows(buckets, k, null_id), "bucket int, known boolean, blob binary")
-    return packed.groupBy("bucket").applyInArrow(_repeats, f"{KEY}, starts binary")
+def _text_hash(text: str) -> F.Column:
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+
+
+def _keyed(docs: DataFrame, text: str, doc_id: str) -> tuple[DataFrame, int, bool]:
+    """(doc_id, text_hash, text) of every row, the bytes of all texts, and whether no doc_id repeats. text_hash tells rows of one doc_id apart; it is 0 where there is no need."""
+    found = docs.agg(F.sum(F.octet_length(F.col(text))).alias("size"), F.count("*").alias("n"), F.count_distinct(F.col(doc_id)).alias("ids")).first()
+    unique = found["n"] == found["ids"]
+    hashed = F.lit(0).cast("long") if unique else _text_hash(text)
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), hashed.alias("text_hash"), F.col(text).alias("text")), found["size"] or 0, unique
+
+
+def repeated_windows(keyed: DataFrame, size: int, k: int = 20) -> DataFrame:
+    """(doc_id, text_hash, starts) of documents with windows whose words start earlier: those windows' first words, as packed 32-bit numbers."""
+    buckets = min(MOST_BUCKETS, max(8, int(size / 6 / BUCKET_WINDOWS)))
+    packed = keyed.mapInArrow(_windows(buckets, k, NULL_ID), "bucket int, known boolean, blob binary")
+    found = packed.groupBy("bucket").applyInArrow(_repeats(buckets), "block int, blob binary")
+    return found.groupBy("block").applyInArrow(_collected, "doc_id long, text_hash long, starts binary")
 
 
-def remove_repeats(docs: DataFrame, k: int = 20, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def remove_repeats(docs: DataFrame, k: int = 20, text: str = "text", doc_id: str = "doc_id", carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id and n_words, n_removed, kept_sha256, removed (word intervals [start, end)), kept_text of every row.
 
     Removed is each word covered by a window of k words of one text whose word sequence also starts earlier: in a
@@ -194,15 +230,22 @@ def remove_repeats(docs: DataFrame, k: int = 20, text: str = "text", doc_id: str
     kept_text is the text without the removed intervals, its other white space as it was. Null text: no words, null
     kept_text, the digest of nothing. A null doc_id comes before all others. Rows that repeat a doc_id are documents of
     their own; windows at the same start of theirs tie, and neither is later. Texts of fewer than k words lose nothing.
-    An empty table gives no rows. Other columns are not looked at.
+    An empty table gives no rows. Columns named in carry are
+    handed on; others are not looked at.
     """
-    null_id = -(1 << 63)
-    marks = repeated_windows(docs, k, text, doc_id).groupBy("doc_id", "text_hash").agg(F.collect_list("starts").alias("__starts"))
-    keyed = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("__text"))
-    keyed = keyed.withColumn("__key", F.coalesce("doc_id", F.lit(null_id))).withColumn("__hash", F.xxhash64(F.coalesce(F.col("__text"), F.lit(""))))
-    both = keyed.join(marks.select(F.col("doc_id").alias("__key"), F.col("text_hash").alias("__hash"), "__starts"), ["__key", "__hash"], "left").select("doc_id", "__text", "__starts")
-    schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("removed", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("kept_text", pa.string())])
-    return both.mapInArrow(_cut(k, schema), "doc_id long, n_words long, n_removed long, kept_sha256 string, removed array<struct<start: long, end: long>>, kept_text string")
+    keyed, size, unique = _keyed(docs, text, doc_id)
+    marks = repeated_windows(keyed, size, k).select(F.col("doc_id").alias("__key"), F.col("text_hash").alias("__hash"), F.col("starts").alias("__starts"))
+    hashed = F.lit(0).cast("long") if unique else _text_hash(text)
+    handed = [f"__c{i}" for i in range(len(carry))]
+    rows = docs.select(
+        F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_ID)).alias("__key"), hashed.alias("__hash"), F.col(text).alias("__text"),
+        *[F.col(c).alias(n) for c, n in zip(carry, handed, strict=True)],
+    )
+    both = rows.join(marks, ["__key", "__hash"], "left").drop("__key", "__hash")
+    own = [("doc_id", "long"), ("n_words", "long"), ("n_removed", "long"), ("kept_sha256", "string"), ("removed", "array<struct<start:bigint,end:bigint>>"), ("kept_text", "string")]
+    ddl = ", ".join(f"{n} {t}" for n, t in [*own, *((n, docs.schema[c].dataType.simpleString()) for c, n in zip(carry, handed, strict=True))])
+    out = both.mapInArrow(_cut(k, [n for n, _ in own[1:]], handed), ddl)
+    return out.select(*[n for n, _ in own], *[F.col(n).alias(c) for c, n in zip(carry, handed, strict=True)])
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
