@@ -95,7 +95,7 @@ def scan(files: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     gives no rows. Other columns are not looked at. Every line of a text of any length is scanned.
     """
     spark = files.sparkSession
-    files = files.select("path", "text")
+    files = files.select("path", F.coalesce("text", F.lit("")).alias("text"))
     n_files, found = frequencies(files)
     vectors, unseen = weights(n_files, found)
     names = spark.createDataFrame([(i, name, math.sqrt(sum(w * w for w in v.values()))) for i, ((name, _), v) in enumerate(zip(TEMPLATES, vectors, strict=True))], "template int, name string, norm double")
