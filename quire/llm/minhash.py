@@ -5,8 +5,10 @@ empty bins take the value of a bin chosen by a fixed hash of (bin, attempt), whi
 similarity (optimal densification). Documents of equal sets are one class from the start. Each band of a signature is a
 bucket's key. A bucket's first candidate edges form a star: every member to the member with the smallest rank. Edges are
 confirmed on the full sets, and components are formed. Only where a bucket still spans several components are its other
-pairs looked at, block by block, and kept if the signatures agree as links' would; they are confirmed in the same way,
-so no link between differing documents is lost to the star.
+pairs looked at, block by block, by the SKETCH smallest hashes of their sets: a set of no more is there as a whole, and of
+the links that such sets have between components a spanning forest is enough; of larger sets every pair is kept whose
+smallest hashes agree as a link's would. These pairs are confirmed like the star's, so the star loses no link that could
+join two components.
 """
 
 from __future__ import annotations
@@ -26,8 +28,9 @@ from quire.llm.components import components
 #: At a similarity of 0.8 a pair shares no bucket with a chance of (1 - 0.8**4)**32, 5 in 10**8.
 BANDS, ROWS = 32, 4
 BINS = BANDS * ROWS
-#: Signature bins that a pair beyond the star must agree in: links' expected 0.8 less five standard deviations.
-LEAST_AGREED = int(BINS * (0.8 - 5 * (0.8 * 0.2 / BINS) ** 0.5))
+#: Hashes of a set's sketch, and the least agreement of two sketches of larger sets: links' expected 0.8 less five deviations.
+SKETCH = 256
+LEAST_AGREED = 0.8 - 5 * (0.8 * 0.2 / SKETCH) ** 0.5
 #: Members of a bucket that are compared with each other in one task.
 BLOCK = 1024
 _EDGES = (np.arange(BINS + 1, dtype=object) * (1 << 64) // BINS).tolist()
@@ -86,12 +89,11 @@ def _sign(width: int):
                 key = np.broadcast_to(salt, sign.shape[:2]).copy()
                 for r in range(ROWS):
                     key = K.mix(key ^ sign[:, :, r])
-                sketch = K.mix(sign.reshape(-1, BINS)).astype(np.uint8)
                 nodes = [int.from_bytes(node_of(s), "little", signed=True) if len(s) else None for s in sets]
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).slice(at, to - at), batch.column(2).slice(at, to - at), pa.array(nodes, pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([k.tobytes() if len(s) else None for k, s in zip(key, sets, strict=True)], pa.binary()),
-                    pa.array([k.tobytes() if len(s) else None for k, s in zip(sketch, sets, strict=True)], pa.binary()),
+                    pa.array([(s[:SKETCH] >> np.uint64(32)).astype(np.uint32).tobytes() if len(s) else None for s in sets], pa.binary()),
                 ], names=["doc_id", "text_hash", "node", "n_shingles", "keys", "sketch"])
 
     return run
@@ -125,34 +127,73 @@ def _confirm(width: int, percent: int):
     return run
 
 
-def _pairs(table: pa.Table) -> pa.Table:
-    """Of one pair of blocks of a bucket: pairs of differing components whose signatures agree enough, smaller node first."""
-    nodes, labels, sides = (np.asarray(table.column(c)) for c in ("node", "label", "side"))
-    sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(-1, BINS)
-    left, right = np.flatnonzero(sides != 1), np.flatnonzero(sides != 0)
-    same = bool((sides == 2).any())  # a block with itself
-    found = []
-    for i in left.tolist():
-        others = right[right > i] if same else right
-        others = others[labels[others] != labels[i]]
-        others = others[(sketch[others] == sketch[i]).sum(axis=1) >= LEAST_AGREED]
-        found += [(min(int(nodes[i]), int(nodes[j])), max(int(nodes[i]), int(nodes[j]))) for j in others.tolist()]
-    a, b = zip(*set(found), strict=True) if found else ((), ())
-    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-
-def _remaining(members: DataFrame, labelled: DataFrame, tested: DataFrame) -> DataFrame:
-    """Untested pairs in buckets that span several components. labelled: (node, label, sketch)."""
-    own = members.join(labelled.select("node", "label"), "node")
+def _agreement(a: np.ndarray, b: np.ndarray, whole_a: bool, whole_b: bool) -> float:
+    """Similarity of two sets by the hashes up to which both sketches are complete."""
+    upto = min(a[-1] if not whole_a else 0xFFFFFFFF, b[-1] if not whole_b else 0xFFFFFFFF)
+    a, b = a[: np.searchsorted(a, upto, "right")], b[: np.searchsorted(b, upto, "right")]
+    shared = len(np.intersect1d(a, b))
+    return shared / max(1, len(a) + len(b) - shared)
+
+
+def _pairs(percent: int):
+    """Of one pair of blocks of a bucket: pairs that could join components, smaller node first."""
+    least = LEAST_AGREED + (percent - 80) / 100
+
+    def run(table: pa.Table) -> pa.Table:
+        nodes, labels, sides, sizes = (np.asarray(table.column(c)) for c in ("node", "label", "side", "n_shingles"))
+        sketch = [np.frombuffer(x, np.uint32) for x in table.column("sketch").to_pylist()]
+        n = len(nodes)
+        lengths = np.array([len(x) for x in sketch])
+        whole = sizes <= SKETCH
+        # shared hashes of all pairs, hash by hash
+        of, hashes = np.repeat(np.arange(n), lengths), np.concatenate(sketch)
+        order = np.argsort(hashes, kind="stable")
+        of, hashes = of[order], hashes[order]
+        cuts = np.flatnonzero(np.diff(hashes, prepend=~hashes[:1]))
+        ends = np.append(cuts[1:], len(hashes))
+        shared = np.zeros((n, n), np.int32)
+        for a, b in zip(cuts[ends - cuts > 1].tolist(), ends[ends - cuts > 1].tolist(), strict=True):
+            shared[np.ix_(of[a:b], of[a:b])] += 1
+        meet = np.triu(labels[:, None] != labels[None, :], 1)
+        if not (sides == 2).any():  # two blocks: pairs across them only
+            meet &= sides[:, None] != sides[None, :]
+        both = whole[:, None] & whole[None, :]
+        exact = 100 * shared >= percent * (lengths[:, None] + lengths[None, :] - shared)
+        found, root = [], {x: x for x in set(labels.tolist())}
+
+        def top(x):
+            while root[x] != x:
+                root[x] = x = root[root[x]]
+            return x
+
+        for i, j in zip(*np.nonzero(meet & both & exact), strict=True):
+            x, y = top(int(labels[i])), top(int(labels[j]))
+            if x != y:
+                root[x] = y
+                found.append((i, j))
+        # sizes whose ratio is below the threshold can't be a link
+        ratio = 100 * np.minimum(sizes[:, None], sizes[None, :]) >= percent * np.maximum(sizes[:, None], sizes[None, :])
+        for i, j in zip(*np.nonzero(meet & ~both & ratio & (shared > 0)), strict=True):
+            if _agreement(sketch[i], sketch[j], whole[i], whole[j]) >= least:
+                found.append((i, j))
+        ends_of = [sorted((int(nodes[i]), int(nodes[j]))) for i, j in found]
+        return pa.table({"a": pa.array([x[0] for x in ends_of], pa.int64()), "b": pa.array([x[1] for x in ends_of], pa.int64())})
+
+    return run
+
+
+def _remaining(members: DataFrame, labels: DataFrame, sketches: DataFrame, tested: DataFrame, percent: int) -> DataFrame:
+    """Untested pairs in buckets that span several components. sketches: (node, n_shingles, sketch)."""
+    own = settled(members.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label")), "members")
     spanning = own.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("n")).filter("x <> y")
     spanning = spanning.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    rows = members.join(spanning, "key").join(labelled, "node").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks").cast("long")).cast("int"))
+    rows = own.join(spanning, "key").join(sketches, "node").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks").cast("long")).cast("int"))
     # a block meets itself once and every other block once
-    dealt = rows.select("key", "node", "label", "sketch", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select(
-        "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "label", "sketch",
+    dealt = rows.select("key", "node", "label", "n_shingles", "sketch", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select(
+        "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "label", "n_shingles", "sketch",
         F.when(F.col("block") == F.col("other"), 2).when(F.col("block") < F.col("other"), 0).otherwise(1).alias("side"),
     )
-    pairs = dealt.groupBy("key", "i", "j").applyInArrow(_pairs, "a long, b long").distinct()
+    pairs = dealt.groupBy("key", "i", "j").applyInArrow(_pairs(percent), "a long, b long").distinct()
     return pairs.join(tested, ["a", "b"], "left_anti")
 
 
@@ -181,18 +222,19 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, text: st
     """
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     source = source.withColumn("text_hash", F.xxhash64("text"))
-    signed = settled(source.mapInArrow(_sign(width), "doc_id long, text_hash long, node long, n_shingles long, keys binary, sketch binary"), "signatures")
+    signed = settled(source.mapInArrow(_sign(width), "doc_id long, text_hash long, node long, n_shingles long, keys binary, sketch binary").withColumn("row", F.monotonically_increasing_id()), "signatures")
     real = signed.filter("node is not null and doc_id is not null")
-    classes = settled(real.groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("rep"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")), "classes")
-    members = classes.select("node", "keys").mapInArrow(_buckets, "key long, node long")
+    classes = settled(real.groupBy("node").agg(F.min(F.struct("doc_id", "text_hash", "row")).alias("rep")), "classes")
+    bearers = classes.select("node", F.col("rep.row").alias("row"))  # the row whose signature stands for its class
+    members = real.select("row", "keys").join(bearers, "row").select("node", "keys").mapInArrow(_buckets, "key long, node long")
     centres = members.groupBy("key").agg(F.min("node").alias("centre"), F.count("*").alias("n")).filter("n > 1").select("key", "centre")
     shared = settled(members.join(centres, "key"), "buckets")
     star = settled(shared.filter("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct(), "star")
     nodes = classes.select("node", "rep")
     links = settled(confirmed(star, nodes, source, width, percent), "links")
     labels = components(links)
-    labelled = classes.select("node", "sketch").join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"), "sketch")
-    more = settled(_remaining(shared.select("key", "node"), labelled, star), "pairs")
+    sketches = real.select("row", "n_shingles", "sketch").join(bearers, "row").select("node", "n_shingles", "sketch")
+    more = settled(_remaining(shared.select("key", "node"), labels, sketches, star, percent), "pairs")
     if not more.isEmpty():
         labels = components(links.unionByName(confirmed(more, nodes, source, width, percent)))
     groups = settled(nodes.join(labels, "node"), "groups")
