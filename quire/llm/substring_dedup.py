@@ -227,7 +227,8 @@ def remove_repeats(docs: DataFrame, k: int = 20, text: str = "text", doc_id: str
 
     Removed is each word covered by a window of k words of one text whose word sequence also starts earlier: in a
     smaller doc_id, or in the same document at an earlier word. kept_sha256 is of the kept words joined by one space;
-    kept_text is the text without the removed intervals, its other white space as it was. Null text: no words, null
+    kept_text is the text without the removed intervals, each up to the next
+    kept word, its other white space as it was. Null text: no words, null
     kept_text, the digest of nothing. A null doc_id comes before all others. Rows that repeat a doc_id are documents of
     their own; windows at the same start of theirs tie, and neither is later. Texts of fewer than k words lose nothing.
     An empty table gives no rows. Columns named in carry are

@@ -44,7 +44,7 @@ def test_random_texts(spark, seed, monkeypatch):
 def test_kept_text(spark):
     shared = passage(2, 30)
     out = {r["doc_id"]: r for r in S.remove_repeats(documents(spark, [(1, shared), (2, f"head\n{shared}\n tail  end"), (3, None)])).collect()}
-    assert out[2]["kept_text"] == "head\n\n tail  end" and [tuple(x) for x in out[2]["removed"]] == [(1, 31)]
+    assert out[2]["kept_text"] == "head\ntail  end" and [tuple(x) for x in out[2]["removed"]] == [(1, 31)]
     assert out[3]["kept_text"] is None and out[3]["n_words"] == 0 and out[1]["kept_text"] == shared
 
 
