@@ -20,7 +20,7 @@ def vectors(spark):
     r = np.random.default_rng(3)
     centres = r.normal(size=(12, 8))
     rows = [(i, [float(np.float32(x)) for x in centres[i % 12] + 0.2 * r.normal(size=8)]) for i in range(600)]
-    rows += [(1000 + i, [1.0, 2.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0]) for i in range(100)]  # a common vector
+    rows += [(1000 + i, [10.0, 20.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0]) for i in range(100)]  # a common vector
     rows += [(2000, None), (2001, [0.0] * 8), (2002, [1.0, None] + [0.0] * 6), (2003, [float("nan")] * 8), (2004, [float("inf")] * 8), (2005, [1.0]), (2006, []), (None, [1.0] * 8)]
     return rows, spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("label", F.lit(1)).withColumn("node", F.lit("x")).repartition(3)
 
