@@ -138,3 +138,29 @@ def usage_rollup(usage: DataFrame) -> DataFrame:
     sums = usage.groupBy("book").agg(F.sum("prompt_tokens").alias("prompt_tokens"), F.sum("completion_tokens").alias("completion_tokens"))
     total = sums.withColumn("total_tokens", F.col("prompt_tokens") + F.col("completion_tokens"))
     return total.withColumn("cost", F.round(cost(F.col("prompt_tokens"), F.col("completion_tokens")), 9))
+
+
+def user_message(chunks: DataFrame, frame: DataFrame, qpp: int = 1) -> DataFrame:
+    """chunks (book, chunk_ix, title, chunk_start, chunk_end, overlap_text, text) with message: the book's frame, the page before as context, what is asked for, the pages."""
+    opening = frame.groupBy("book").agg(F.array_sort(F.collect_list(F.struct("page", "text"))).alias("f"))  # within the frame's tokens
+    both = chunks.join(opening, "book", "left")
+    body = F.concat_ws(
+        "\n\n",
+        F.concat(F.lit("Context: the document's opening\n"), F.coalesce(F.array_join(F.transform("f", lambda x: x["text"]), "\n"), F.lit("unavailable"))),
+        F.when(F.col("overlap_text").isNotNull(), F.concat(F.lit("Context: the page before\n"), "overlap_text")),
+        F.concat(F.lit("Section: "), "title", F.lit(", pages "), F.col("chunk_start").cast("string"), F.lit(" to "), F.col("chunk_end").cast("string")),
+        F.concat(F.lit(f"Notes a page: at most {qpp}, "), density_tier(F.lit(qpp))),
+        "text",
+    )
+    return both.withColumn("message", body).drop("f")
+
+
+def retry_message(message: Column, errors: Column) -> Column:
+    """The message with the first 20 errors of the attempt before."""
+    return F.when(F.size(errors) > 0, F.concat(message, F.lit("\n\nCorrect these:\n"), F.array_join(F.transform(F.slice(errors, 1, 20), lambda e: F.concat(F.lit("- "), e)), "\n"))).otherwise(message)
+
+
+def first_misses(placements: DataFrame, most: int = 10) -> DataFrame:
+    """The first misses of each book, by target: a report's top rows."""
+    order = Window.partitionBy("book").orderBy("target_id")
+    return placements.filter("reason is not null").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most)

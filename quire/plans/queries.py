@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -196,7 +195,6 @@ def get_page_text(spark, d):
 
 # ---- sections
 
-_first = lambda x: f"list_filter({x}, lambda y: true)[1]"
 CHAPTER_SQL = f"list_filter(list_transform({sql_lines('text')}, lambda x: {sql_strip('x')}), lambda x: x <> '' AND length(x) <= 80 AND regexp_matches(x, '(?i)^((chapter|part)\\s+[\\pL\\pN_]+|([0-9]+\\.\\s*)?chapter\\s+[0-9]+)'))[1]"
 ARTICLE_SQL = f"""list_filter(list_filter(list_transform({sql_lines('text')}, lambda x: {sql_strip('x')}), lambda x: x <> '')[:6], lambda x: length(x) <= 80 AND (
   regexp_full_match(x, '(?i)([0-9]+(\\.[0-9]+)*\\.?\\s+)?({'|'.join(C.SECTION_NAMES)})') OR
@@ -705,12 +703,9 @@ def word_sequence_match(spark, d):
     return both.select("target_id", place.word_sequence_match(T.tokenize("quote"), F.col("words")).alias("r")).select("target_id", "r.start", "r.stop")
 
 
-VARIANT_HIT = f"len(list_filter({_variants_sql().replace('(q', '(t.quote').replace('[q', '[t.quote')}, lambda v: contains(p.text, v))) > 0"
-
-
 @query("find_quote_rects")
 def find_quote_rects(spark, d):
-    """Rows only, for the run of words; its search part is compared by highlight_report's kin in tests."""
+    """Rows only; tests compare the runs of words with a plain reading of the rule."""
     pages = B.conv_pages(spark, d)
     return place.find_quotes(B.targets(spark, d), pages, B.words(spark, d), B.books_of(pages)).select("target_id", "found_page", "method", "start", "stop", "reason")
 
@@ -773,3 +768,106 @@ def annotate_range(spark, d):
 def retry_loop(spark, d):
     chunks = cleaning.chapter_text(*_conv_numbered(spark, d)).select("book", F.col("number").alias("chapter_number"), F.lit(0).alias("chunk_ix"), "text")
     return provider.annotate(chunks, provider.unsteady).select("book", "chapter_number", "chunk_ix", "attempts", "error")
+
+
+# ---- single rules, each by its own name
+
+
+@query("density_tier", f"WITH {B.SRC}, {GRID} SELECT DISTINCT qpp, CASE WHEN qpp <= 2 THEN 'selective' WHEN qpp <= 5 THEN 'balanced' ELSE 'dense' END AS tier FROM grid")
+def density_tier(spark, d):
+    return _grid(spark, d).select("qpp", estimate.density_tier(F.col("qpp")).alias("tier")).distinct()
+
+
+@query("skip_quality", "SELECT conv_id AS book, (count(*) * 20)::BIGINT AS pages, count(*) * 20 >= 100 AS skip FROM conversations GROUP BY conv_id")
+def skip_quality(spark, d):
+    return B.table(spark, d, "conversations").groupBy(F.col("conv_id").alias("book")).agg((F.count("*") * 20).alias("pages")).withColumn("skip", estimate.skip_quality(F.col("pages")))
+
+
+@query("dense_high_warn", f"WITH {B.SRC}, {GRID} SELECT DISTINCT qpp, quality, qpp > 2 AND quality = 'high' AS warn FROM grid")
+def dense_high_warn(spark, d):
+    return _grid(spark, d).select("qpp", "quality", estimate.dense_high_warn(F.col("qpp"), F.col("quality")).alias("warn")).distinct()
+
+
+@query("over_budget", "SELECT doc_id, round(n_chars * 100 / 1e6 * 0.4 + n_chars * 200 / 1e6 * 1.2, 9) > 0.75 AS is_over FROM documents")
+def over_budget(spark, d):
+    price = estimate.cost(F.col("n_chars") * 100, F.col("n_chars") * 200)
+    return _documents(spark, d).select("doc_id", (F.round(price, 9) > C.BUDGET_WARNING).alias("is_over"))
+
+
+@query("expected_annotations", f"WITH {B.SRC}, {GRID} SELECT DISTINCT book, qpp, pages * qpp AS expected FROM grid")
+def expected_annotations(spark, d):
+    return _grid(spark, d).select("book", "qpp", (F.col("pages") * F.col("qpp")).alias("expected")).distinct()
+
+
+@query("quality_label", f"WITH {B.SRC}, {GRID} SELECT DISTINCT quality, upper(quality[1]) || quality[2:] AS label FROM grid")
+def quality_label(spark, d):
+    return _grid(spark, d).select("quality", F.initcap("quality").alias("label")).distinct()
+
+
+@query("format_int", "SELECT doc_id, format('{:,}', n_chars * 1000) AS n FROM documents")
+def format_int(spark, d):
+    return _documents(spark, d).select("doc_id", F.format_number(F.col("n_chars") * 1000, 0).alias("n"))
+
+
+@query("count_tokens", "SELECT doc_id, ((length(text) + 3) // 4)::BIGINT AS tokens FROM documents")
+def count_tokens(spark, d):
+    return _documents(spark, d).select("doc_id", T.estimated_tokens("text").alias("tokens"))
+
+
+@query("usable_note", f"WITH {B.ANN} SELECT book, seq, CASE WHEN {NOTE} NOT IN ('', '[UNKNOWN]') THEN {NOTE} END AS note, {sql_strip('book_text')} IN ('', '[UNKNOWN]') AS is_skipped FROM ann")
+def usable_note(spark, d):
+    return B.annotations(spark, d).select("book", "seq", place.usable_note(F.col("annotation")).alias("note"), (~T.verified_quote("book_text")).alias("is_skipped"))
+
+
+@query("row_to_target", f"WITH {B.ANN} SELECT book, seq, page::INTEGER AS page, book_text, annotation, nullif(CASE WHEN seq % 3 = 0 THEN '' ELSE category END, '') AS annotation_type FROM ann WHERE {TARGETS} AND page >= 1")
+def row_to_target(spark, d):
+    kind = F.when(F.col("seq") % 3 == 0, "").otherwise(F.col("category"))
+    return files.row_to_target(B.annotations(spark, d).select("book", "seq", F.col("page").cast("string").alias("page"), "book_text", "annotation", kind.alias("annotation_type")))
+
+
+STATUS_GRID = "g AS (SELECT a, b, m FROM (SELECT unnest(range(0, 6)) AS a), (SELECT unnest(range(0, 6)) AS b), (SELECT unnest(range(0, 6)) AS m) WHERE m <= a AND m <= b)"
+
+
+def _status_grid(spark):
+    n = lambda name: spark.range(6).withColumnRenamed("id", name)  # noqa: E731  six rows each
+    return n("a").crossJoin(n("b")).crossJoin(n("m")).filter("m <= a and m <= b")
+
+
+@query("page_status", f"WITH {STATUS_GRID} SELECT a, b, m, CASE WHEN a + b = 0 THEN 'EMPTY' WHEN m = 0 THEN 'NO_MATCH' WHEN m = a AND m = b THEN 'MATCH' ELSE 'PARTIAL' END AS status FROM g")
+def page_status(spark, d):
+    return _status_grid(spark).withColumn("status", compare.page_status(F.col("m"), F.col("a"), F.col("b")))
+
+
+@query("dice_percent", f"WITH {STATUS_GRID} SELECT a, b, m, round(CASE WHEN a = 0 AND b = 0 THEN 100 WHEN a = 0 OR b = 0 THEN 0 ELSE 200.0::DOUBLE * m / (a + b) END, 6) AS dice FROM g")
+def dice_percent(spark, d):
+    return _status_grid(spark).withColumn("dice", F.round(compare.dice_percent(F.col("m"), F.col("a"), F.col("b")), 6))
+
+
+@query("retry_message", f"WITH {B.CONV} SELECT book, CASE WHEN end_page > 2 THEN 'm' || chr(10) || chr(10) || 'Correct these:' || chr(10) || array_to_string(list_transform(range(0, least(20, end_page * 4)), lambda x: '- e' || x), chr(10)) ELSE 'm' END AS message FROM conv_sec")
+def retry_message(spark, d):
+    sections_ = B.conv_sections(B.conv_pages(spark, d))
+    errors = F.when(F.col("end_page") > 2, F.transform(F.sequence(F.lit(0).cast("long"), F.col("end_page") * 4 - 1), lambda x: F.concat(F.lit("e"), x.cast("string")))).otherwise(F.array().cast("array<string>"))
+    return sections_.select("book", estimate.retry_message(F.lit("m"), errors).alias("message"))
+
+
+@query("user_message", f"""WITH {B.CONV}, f AS (SELECT book, string_agg(text, chr(10) ORDER BY page) AS opening FROM conv WHERE page <= 2 GROUP BY book)
+SELECT c.book, c.page AS chunk_ix, md5('Context: the document''s opening' || chr(10) || opening || chr(10) || chr(10) || CASE WHEN p.text IS NULL THEN '' ELSE 'Context: the page before' || chr(10) || p.text || chr(10) || chr(10) END
+  || 'Section: All, pages ' || c.page || ' to ' || c.page || chr(10) || chr(10) || 'Notes a page: at most 3, balanced' || chr(10) || chr(10) || c.text) AS message
+FROM conv c JOIN f USING (book) LEFT JOIN conv p ON p.book = c.book AND p.page = c.page - 1""")
+def user_message(spark, d):
+    pages = B.conv_pages(spark, d)
+    before = pages.select("book", (F.col("page") + 1).alias("page"), F.col("text").alias("overlap_text"))
+    chunks = pages.join(before, ["book", "page"], "left").select("book", F.col("page").alias("chunk_ix"), F.lit("All").alias("title"), F.col("page").alias("chunk_start"), F.col("page").alias("chunk_end"), "overlap_text", "text")
+    return estimate.user_message(chunks, pages.filter("page <= 2"), 3).select("book", "chunk_ix", F.md5("message").alias("message"))
+
+
+@query("first_misses", f"WITH {B.ANN}, {TARGET}, m AS (SELECT book, target_id, row_number() OVER (PARTITION BY book ORDER BY target_id) AS rank FROM target JOIN conv_sec USING (book) WHERE page > end_page) SELECT book, target_id, rank::INTEGER AS rank FROM m WHERE rank <= 10")
+def first_misses(spark, d):
+    ranged = place.target_page_range(B.targets(spark, d), B.books_of(B.conv_pages(spark, d)))
+    return estimate.first_misses(ranged).select("book", "target_id", "rank")
+
+
+@query("structure_report", f"WITH {B.CONV} SELECT count(*) AS answers, count(*) FILTER (book % 10 IN (1, 2, 3)) AS unusable FROM conv_sec")
+def structure_report(spark, d):
+    checked = verify.structure_hard(_responses(spark, d))
+    return checked.agg(F.count("*").alias("answers"), F.count_if(verify.blocking_errors(F.col("errors"))).alias("unusable"))

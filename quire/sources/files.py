@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions.constants import CSV_COLUMNS, EXTENSIONS, UNKNOWN
-from quire.functions.text import book_stem, coerce_page, field_key, normalize_quote, strip
+from quire.functions.text import book_stem, coerce_page, normalize_quote, strip
 
 NOTE = "page string, book_text string, annotation string, category string, grounding string"
 CHAPTER = f"chapter_number string, chapter_title string, start_page int, end_page int, source_filename string, quality string, density string, annotations array<string>"
@@ -150,6 +150,3 @@ def write_csv(rows: DataFrame, path: str, by: str | None = None) -> None:
 def write_json(payloads: DataFrame, path: str) -> None:
     payloads.select("json").write.mode("overwrite").text(path)
 
-
-def header_key(name: Column) -> Column:
-    return field_key(name)

@@ -85,3 +85,19 @@ def test_converter_boundary(spark, tmp_path):
     raw = spark.read.format("binaryFile").load(str(tmp_path / "one.txt"))
     pages = files.convert(raw, lambda path, content: enumerate(content.decode().split("\f"), 1))
     assert [(r["page"], r["raw_text"]) for r in pages.orderBy("page").collect()] == [(1, "first"), (2, "second")]
+
+
+def test_chapter_files(spark, tmp_path):
+    from quire.sources import outputs
+
+    folder = str(tmp_path / "json")
+    rows = spark.createDataFrame([("Book", 2, '{"a": 2}'), ("Book", 10, '{"a": 10}'), ("Other", 1, "{}")], "stem string, chapter_number int, json string")
+    outputs.save_chapter_json(rows, folder)
+    outputs.save_chapter_json(spark.createDataFrame([("Book", 2, '{"a": "again"}')], rows.schema), folder)
+    assert [tuple(r) for r in outputs.scan_chapter_dir(spark, folder, "Book").collect()] == [(2, '{"a": "again"}'), (10, '{"a": 10}')]
+    assert outputs.delete_chapter_outputs(spark, folder, "Book") == 2 and outputs.delete_chapter_outputs(spark, folder, "Book") == 0
+    assert (tmp_path / "json").exists() and outputs.delete_chapter_outputs(spark, folder, "Other") == 1 and not (tmp_path / "json").exists()
+    log = str(tmp_path / "failed")
+    for n in (1, 2):
+        outputs.save_failed_response(spark.createDataFrame([("Book", 2, n, "bad")], "stem string, chapter_number int, attempt int, response string"), log)
+    assert spark.read.json(log).count() == 2
