@@ -12,7 +12,7 @@ import pyarrow as pa
 
 U64 = np.uint64
 #: Bytes that one kernel call works on; a single longer text is a call of its own.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 3 << 20
 _BYTE_BASE, _WORD_BASE = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95  # odd, so they have inverses modulo 2**64
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True

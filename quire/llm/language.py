@@ -17,6 +17,8 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.llm import _kernels as K
+
 #: Labelled documents that the scores are learned from, at most: those whose ids hash lowest.
 SAMPLE_DOCS = 6000
 #: Hash table of n-grams: log2 of its size. N-grams of 1 to MOST_GRAM characters, and whole words.
@@ -26,7 +28,9 @@ SWITCH_PENALTY, WORD_LIMIT = 6.0, 8.0
 #: A language is a candidate for a script that has this share of its letters.
 SCRIPT_SHARE = 0.01
 #: Words of distinct spelling that a worker keeps scores of.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 200_000
+#: Words whose n-grams are taken at a time.
+GRAM_WORDS = 20_000
 UNKNOWN = "und"
 
 #: First code point of each range and its script; a range ends where the next begins.
@@ -88,16 +92,16 @@ def _count(langs: list[str]):
         scripts = np.zeros((len(langs), len(SCRIPTS)), np.int64)
         for batch in batches:
             lang = np.array([langs.index(x) for x in batch.column(0).to_pylist()])
-            for at in range(0, batch.num_rows, 500):
-                part = batch.column(1).slice(at, 500).fill_null("")
-                offs, index, forms = _tokens(part)
-                of = np.repeat(lang[at : at + 500], np.diff(offs))
-                words = [_letters(f) for f in forms]
-                row, cell, script, n = _grams(words)
-                for k in np.unique(of).tolist():
-                    times = np.bincount(index[of == k], minlength=len(words))
-                    counts[k] += np.bincount(cell, times[row], 1 << TABLE_BITS).astype(np.float32)
-                    scripts[k] += np.bincount(script, times * n, len(SCRIPTS)).astype(np.int64)
+            for at, to, _, _ in K.texts(batch.column(1)):
+                offs, index, forms = _tokens(batch.column(1).slice(at, to - at).fill_null(""))
+                of = np.repeat(lang[at:to], np.diff(offs))
+                times = {k: np.bincount(index[of == k], minlength=len(forms)) for k in np.unique(of).tolist()}
+                for a in range(0, len(forms), GRAM_WORDS):
+                    row, cell, script, n = _grams([_letters(f) for f in forms[a : a + GRAM_WORDS]])
+                    for k, seen in times.items():
+                        some = seen[a : a + GRAM_WORDS]
+                        counts[k] += np.bincount(cell, some[row], 1 << TABLE_BITS).astype(np.float32)
+                        scripts[k] += np.bincount(script, some * n, len(SCRIPTS)).astype(np.int64)
         for k in range(len(langs)):
             cells = np.flatnonzero(counts[k])
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(cells), k, np.int32)), pa.array(cells), pa.array(counts[k][cells].astype(np.float64))], names=["lang", "cell", "n"])
@@ -124,6 +128,10 @@ class Model:
 
     def word_scores(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """A row of scores for each word, and its number of letters. Languages that its script rules out get -WORD_LIMIT."""
+        parts = [self._some_scores(words[a : a + GRAM_WORDS]) for a in range(0, len(words), GRAM_WORDS)]
+        return np.concatenate([x for x, _ in parts]), np.concatenate([n for _, n in parts])
+
+    def _some_scores(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         row, cell, script, n = _grams(words)
         out = np.stack([np.bincount(row, self.scores[cell, k], len(words)) for k in range(len(self.langs))], axis=1) if self.langs else np.zeros((len(words), 0))
         # an n-gram overlaps with others, so their sum says too much
@@ -182,8 +190,8 @@ def _label(model_of, penalty: float, spans: bool):
         if not hasattr(model, "table"):
             model.table, model.sizes = np.zeros((0, n_labels), np.float32), np.zeros(0, np.int64)
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                ids, column = batch.column(0).slice(at, 1000), batch.column(1).slice(at, 1000).fill_null("")
+            for at, to, _, _ in K.texts(batch.column(1)):
+                ids, column = batch.column(0).slice(at, to - at), batch.column(1).slice(at, to - at).fill_null("")
                 offs, index, forms = _tokens(column)
                 if len(known) > CACHE_WORDS:
                     known.clear()
@@ -217,7 +225,7 @@ def _label(model_of, penalty: float, spans: bool):
                     columns.append(pa.array(lists, pa.list_(pa.struct([("lang", pa.string()), ("first_word", pa.int64()), ("last_word", pa.int64())]))))
                     names.append("spans")
                 for k in range(2, batch.num_columns):
-                    columns.append(batch.column(k).slice(at, 1000))
+                    columns.append(batch.column(k).slice(at, to - at))
                     names.append(batch.schema.names[k])
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 

@@ -26,7 +26,7 @@ SPAN = 1 << 33
 #: Open windows at which a partition closes the fullest half, so that its memory is bounded.
 OPEN_LIMIT = 4096
 #: Distinct word forms whose ids a worker keeps.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 200_000
 _WHITE = r"[\t-\r\x1c- \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 #: Texts that aren't parted at every space, line end, stop and comma: white space beside white space, a stop or comma after no letter.
 ODD = rf"[ \n]{_WHITE}|{_WHITE}[ \n]|^[ \n.,]|[ \n]$|[^\pL][.,]"
@@ -291,6 +291,8 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 1, tex
         for window in packer.close(split):
             done(window)
         yield flush()
+        enc.clear()  # the worker may go on to other work
+        pa.default_memory_pool().release_unused()
 
     from pyspark.sql import functions as F
 
