@@ -29,8 +29,8 @@ UNIT = 64
 LEAST, MOST, CUT_BITS = 4096, 65536, 13
 SAMPLE_RATE = 8000
 HEADER = struct.Struct("<4sI4s4sIHHIIHH4sI")
-#: A chunk asked for by more than this share of all requests is copied to SALTS places; there are at most 1 / HOT_SHARE such.
-HOT_SHARE, SALTS = 0.001, 64
+#: A chunk asked for by more than this share of all requests is sent to every task; there are at most 1 / HOT_SHARE such, of MOST bytes at most.
+HOT_SHARE = 0.001
 _GEAR = K.mix(np.arange(256, dtype=np.uint64) + np.uint64(0xC0FFEE)).astype(np.uint32)
 
 
@@ -139,16 +139,19 @@ def chunk_store(docs: DataFrame, text: str = "text") -> DataFrame:
 def read_media(listed: DataFrame, store: DataFrame) -> DataFrame:
     """(media_id, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature) of each distinct file, rebuilt and checked.
 
-    Chunks that many files ask for are copied to SALTS places, and requests dealt out among them.
+    Chunks stay where their digests put them, and the other requests come there; the few that many files ask for go to
+    the requests instead, wherever those are.
     """
     files = listed.groupBy("media_id").agg(F.first("chunks").alias("chunks"))
     wanted = settled(files.select("media_id", F.size("chunks").alias("n"), F.posexplode("chunks").alias("seq", "digest")), "requests")
     total = wanted.count()
-    hot = wanted.groupBy("digest").count().filter(F.col("count") > max(1000, total * HOT_SHARE)).select("digest", F.lit(True).alias("hot"))
-    hot = F.broadcast(hot)  # at most 1 / HOT_SHARE rows
-    asked = wanted.join(hot, "digest", "left").withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("media_id", "seq"), F.lit(SALTS)).cast("int")).otherwise(0))
-    offered = store.join(hot, "digest", "left").select("digest", "frame", F.explode(F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))).alias("salt"))
-    parts = asked.join(offered, ["digest", "salt"]).select("media_id", "n", F.struct("seq", "digest", "frame").alias("part"))
+    hot = settled(wanted.groupBy("digest").count().filter(F.col("count") > max(1000, total * HOT_SHARE)).select("digest"), "hot")
+    few = F.broadcast(hot)  # at most 1 / HOT_SHARE digests
+    found = wanted.join(few, "digest", "left_anti").join(store, "digest")
+    if not hot.isEmpty():
+        sent = F.broadcast(store.join(few, "digest", "left_semi"))  # at most MOST / HOT_SHARE bytes
+        found = found.unionByName(wanted.join(few, "digest", "left_semi").join(sent, "digest"))
+    parts = found.select("media_id", "n", F.struct("seq", "digest", "frame").alias("part"))
     lone = parts.filter("n = 1").select("media_id", "n", F.array("part").alias("parts"))  # complete as it is
     rest = parts.filter("n > 1").groupBy("media_id").agg(F.first("n").alias("n"), F.collect_list("part").alias("parts"))  # one file's chunks
     schema = "media_id binary, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
