@@ -62,3 +62,37 @@ def test_key_terms_bound():
 
 def test_empty(spark):
     assert L.scan(table(spark).limit(0)).count() == 0
+
+
+HEADER = """/*
+ * This program is free software; you can redistribute it
+ * and/or modify it under the terms of the GNU General
+ * Public License as published by the Free Software
+ * Foundation; either version 2 of the License, or (at
+ * your option) any later version.
+ */
+int main() { return 0; }
+"""
+APACHE = "Licensed under the Apache License, Version 2.0."
+
+
+def test_windows_texts_and_identifiers(spark):
+    """Statements beside other words or over several lines, full texts and identifiers, and what they pass on."""
+    texts = dict(L.TEXTS)
+    wrapped = "\n".join(" ".join(texts["MIT"].split()[at : at + 9]) for at in range(0, 200, 9))
+    rows = [
+        ("a/x.c", "// Released under the MIT License. Copyright 2020 Jane Roe and contributors"), ("b/x.c", f"These pages describe a machine that sorts post. {APACHE} Its authors keep a list of stations and of their trains."),
+        ("c/x.c", "# SPDX-License-Identifier: Apache-2.0\n" + "code " * 60), ("c/y.c", "// SPDX-License-Identifier: (MIT OR GPL-2.0-only) \n"), ("c/z.c", "/* SPDX-License-Identifier: GPL-3.0-or-later */"),
+        ("d/x.c", HEADER + "code " * 300), ("e/LICENSE", wrapped), ("e/deep/er/x.c", "code"), ("f/words.txt", texts["GPL-3.0"]), ("f/deep/x.c", "code"), ("g/words.txt", texts["LGPL-3.0"]),
+        ("h/x.c", "nothing of a licence, " * 20), ("i/words.txt", texts["BSD-2-Clause"].replace("\n", "\n * ")), ("j/words.txt", texts["BSD-3-Clause"]), ("k/words.txt", texts["CC0-1.0"]),
+        ("l/x.c", wrapped + "code " * 3000), ("l/y.c", "code"),
+    ]
+    got = {r["path"]: (r["own_licence"], r["licence"], r["basis"]) for r in L.scan(table(spark, rows)).collect()}
+    assert got["a/x.c"][0] == "MIT" and got["b/x.c"][0] == "Apache-2.0" and got["b/x.c"][2] == "statement"
+    assert got["c/x.c"] == ("Apache-2.0", "Apache-2.0", "statement") and got["c/y.c"][0] == "MIT OR GPL-2.0-only" and got["c/z.c"][0] == "GPL-3.0"
+    assert got["d/x.c"] == ("GPL-2.0", "GPL-2.0", "statement")
+    assert got["e/LICENSE"] == ("MIT", "MIT", "file") and got["e/deep/er/x.c"] == (None, "MIT", "directory")
+    assert got["f/words.txt"] == ("GPL-3.0", "GPL-3.0", "file") and got["f/deep/x.c"] == (None, "GPL-3.0", "directory")
+    assert got["g/words.txt"][0] == "LGPL-3.0" and got["h/x.c"] == (None, None, "none")
+    assert got["i/words.txt"] == ("BSD-2-Clause",) * 2 + ("file",) and got["j/words.txt"] == ("BSD-3-Clause",) * 2 + ("file",) and got["k/words.txt"][0] == "CC0-1.0"
+    assert got["l/x.c"] == ("MIT", "MIT", "statement") and got["l/y.c"] == (None, None, "none")
