@@ -680,6 +680,31 @@ def overall_similarity(spark, d):
     return compare.overall_similarity(_compared(spark, d))
 
 
+#: The reference's default: ratio of quotes that match without holding each other.
+RATIO = 0.85
+
+
+def _fuzzy(spark, d):
+    a, b = B.runs(spark, d)
+    return a, b, compare.greedy_pairing(compare.pair_candidates(a, b, threshold=RATIO))
+
+
+@query("greedy_pairing_ratio")
+def greedy_pairing_ratio(spark, d):
+    """Rows only, like the two that follow: difflib's ratio has no SQL; tests compare them with a plain fold."""
+    return _fuzzy(spark, d)[2].withColumn("score", F.round("score", 9))
+
+
+@query("compare_pages_ratio")
+def compare_pages_ratio(spark, d):
+    return compare.compare_pages(*_fuzzy(spark, d))
+
+
+@query("overall_similarity_ratio")
+def overall_similarity_ratio(spark, d):
+    return compare.overall_similarity(compare.compare_pages(*_fuzzy(spark, d)))
+
+
 # ---- placement
 
 TARGET = f"target AS (SELECT book * 100000 + seq AS target_id, book, page, book_text AS quote FROM ann WHERE book_text <> '[UNKNOWN]')"
