@@ -100,6 +100,11 @@ def field_key(spark, d):
     return _documents(spark, d).select("doc_id", T.field_key(F.substring("text", 1, 60)).alias("k"))
 
 
+@query("field_key_whole", "SELECT doc_id, replace(replace(replace(lower(text), 'ß', 'ss'), ' ', ''), '_', '') AS k FROM documents")
+def field_key_whole(spark, d):
+    return _documents(spark, d).select("doc_id", T.field_key("text").alias("k"))
+
+
 ODD = "'“' || replace(replace(text[:40], 'e', '’'), 'fi', 'ﬁ') || '— ' || chr(160) || '” '"
 
 
@@ -120,6 +125,17 @@ def quote_variants(spark, d):
     return found.select("doc_id", F.array_join("v", "|").alias("variants"), F.size("v").alias("n"))
 
 
+ODD_WHOLE = ODD.replace("text[:40]", "text")
+
+
+@query("quote_variants_whole", f"WITH q AS (SELECT doc_id, {ODD_WHOLE} AS q FROM documents), v AS (SELECT doc_id, {_variants_sql()} AS v FROM q), u AS (SELECT doc_id, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM v), f AS (SELECT doc_id, x, min(i) AS i FROM u GROUP BY doc_id, x) SELECT doc_id, md5(string_agg(x, '|' ORDER BY i)) AS variants, count(*)::INTEGER AS n FROM f GROUP BY doc_id")
+def quote_variants_whole(spark, d):
+    changed = F.replace(F.replace("text", F.lit("e"), F.lit("’")), F.lit("fi"), F.lit("ﬁ"))
+    quote = F.concat(F.lit("“"), changed, F.lit("— \u00a0” "))
+    found = _documents(spark, d).select("doc_id", T.quote_variants(quote).alias("v"))
+    return found.select("doc_id", F.md5(F.array_join("v", "|")).alias("variants"), F.size("v").alias("n"))
+
+
 COLORS = "colors AS (SELECT event_id, CASE event_id % 6 WHEN 0 THEN '255, 235, 59' WHEN 1 THEN '1,0.92,0.23' WHEN 2 THEN '1,2' WHEN 3 THEN 'a,b,c' WHEN 4 THEN '300,1,1' ELSE '0.5, 0, ' || event_id % 7 END AS c FROM events)"
 
 
@@ -268,6 +284,13 @@ def sections_from_starts(spark, d):
     return sections.sections_from_starts(starts, B.books_of(pages))
 
 
+@query("sections_from_all_starts", f"WITH {B.SRC}, {_sections_sql('sec', "SELECT book, page AS ix, 'Page ' || page AS title, (page // 3) * 3 + 1 AS page FROM src")} SELECT {SEC} FROM sec")
+def sections_from_all_starts(spark, d):
+    pages = B.src_pages(spark, d)
+    starts = pages.select("book", F.col("page").alias("ix"), F.concat(F.lit("Page "), F.col("page").cast("string")).alias("title"), (F.floor(F.col("page") / 3) * 3 + 1).alias("page"))
+    return sections.sections_from_starts(starts, B.books_of(pages))
+
+
 FRONT_SQL = f"({sql_words('text')} < 150 OR regexp_matches(lower(text), '{'|'.join(C.FRONT_MATTER)}'))"
 STARTS = f"starts AS (SELECT b.book, coalesce(p, 1) AS content_start FROM src_books b LEFT JOIN (SELECT book, min(page) AS p FROM head WHERE page <= 25 AND NOT {FRONT_SQL} GROUP BY book) USING (book))"
 
