@@ -9,11 +9,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 U64 = np.uint64
 #: Bytes that one kernel call works on; a single longer text is a call of its own.
 SLICE_BYTES = 3 << 20
-_BYTE_BASE, _WORD_BASE = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95  # odd, so they have inverses modulo 2**64
+_WORD_BASE = 0xD1342543DE82EF95  # odd, so it has an inverse modulo 2**64
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -83,12 +84,16 @@ def words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64 bits of each word: its polynomial value modulo 2**64, mixed with its length."""
-    with np.errstate(over="ignore"):
-        up, down = powers(_BYTE_BASE, len(data) + 1)
-        sums = np.zeros(len(data) + 1, U64)
-        np.cumsum((data.astype(U64) + U64(1)) * up[:-1], out=sums[1:])
-        return mix(mix((sums[ends] - sums[starts]) * down[starts]) + (ends - starts).astype(U64))
+    """64 bits of each word of ``data``, in order: the xxh3 hash of its bytes, taken once for each distinct word."""
+    if not len(starts):
+        return np.zeros(0, U64)
+    offsets = np.zeros(len(starts) + 1, np.int32)
+    np.cumsum(ends - starts, out=offsets[1:])
+    body = data[~_SPACE[data]]  # the words and nothing else
+    coded = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(body)]).dictionary_encode()
+    forms = coded.dictionary
+    values = np.fromiter(map(xxhash.xxh3_64_intdigest, forms.to_pylist()), U64, len(forms))
+    return values[coded.indices.to_numpy()]
 
 
 def rolling(hashes: np.ndarray, k: int, base: int = _WORD_BASE) -> np.ndarray:

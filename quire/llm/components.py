@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm._store import settled
+from quire.llm._store import released, settled
 
 MOST_ROUNDS = 60
 
@@ -39,7 +39,8 @@ def components(links: DataFrame) -> DataFrame:
     now = settled(links.select("a", "b").filter("a <> b").distinct(), "links")
     before = None
     for _ in range(MOST_ROUNDS):
-        now = settled(_small_star(_large_star(now)), "links")
+        last, now = now, settled(_small_star(_large_star(now)), "links")
+        released(last)
         # when no step changes anything, each link joins a node with its label; sums that stay tell this
         state = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if state == before:

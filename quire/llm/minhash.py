@@ -3,12 +3,14 @@
 A document's set of word shingles is hashed once; its smallest value in each of BANDS * ROWS bins is its signature, and
 empty bins take the value of a bin chosen by a fixed hash of (bin, attempt), which keeps the chance of agreement at the
 similarity (optimal densification). Documents of equal sets are one class from the start. Each band of a signature is a
-bucket's key. A bucket's first candidate edges form a star: every member to the member with the smallest rank. Edges are
-confirmed on the full sets, and components are formed. Only where a bucket still spans several components are its other
-pairs looked at, block by block, by the SKETCH smallest hashes of their sets: a set of no more is there as a whole, and of
-the links that such sets have between components a spanning forest is enough; of larger sets every pair is kept whose
-smallest hashes agree as a link's would. These pairs are confirmed like the star's, so the star loses no link that could
-join two components.
+bucket's key. A bucket's candidate edges form a star: every member to the member with the smallest number, its centre.
+
+All buckets of one centre are a group, which holds each member once. A group's task builds the full sets of its texts,
+counts what each two of them share, and gives back a spanning forest of the links it finds; so every pair that shares a
+bucket is compared, and a group of n members gives n - 1 rows at most. A centre of more members than a task should hold
+has them dealt into blocks, each with the centre. Pairs across its blocks are compared afterwards, and only in buckets
+that the links so far leave in several components: there the members of the largest component meet the others, block by
+block, and the others each other.
 """
 
 from __future__ import annotations
@@ -18,21 +20,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm import _kernels as K
-from quire.llm._store import settled
+from quire.llm._store import released, settled
 from quire.llm.components import components
 
 #: At a similarity of 0.8 a pair shares no bucket with a chance of (1 - 0.8**4)**32, 5 in 10**8.
 BANDS, ROWS = 32, 4
 BINS = BANDS * ROWS
-#: Hashes of a set's sketch, and the least agreement of two sketches of larger sets: links' expected 0.8 less five deviations.
-SKETCH = 256
-LEAST_AGREED = 0.8 - 5 * (0.8 * 0.2 / SKETCH) ** 0.5
-#: Members of a bucket that are compared with each other in one task.
-BLOCK = 1024
+#: Members, and shingles of all members, that are compared with each other in one task.
+BLOCK, BLOCK_SHINGLES = 2048, 4 << 20
+#: Columns of a matrix of sets that are multiplied at a time; a shingle of more than 1 / DENSE of the sets is such a column.
+COLUMNS, DENSE = 1024, 16
 _EDGES = (np.arange(BINS + 1, dtype=object) * (1 << 64) // BINS).tolist()
 _LOW = np.array([e for e in _EDGES[:-1]], np.uint64)
 #: Bins that an empty bin turns to, attempt by attempt.
@@ -75,11 +76,9 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def node_of(s: np.ndarray) -> bytes:
-    return hashlib.blake2b(s.tobytes(), digest_size=8).digest()
-
-
 def _sign(width: int):
+    """Batches: doc_id, text, text_hash."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         salt = K.mix(np.arange(BANDS, dtype=np.uint64) + np.uint64(77))
         for batch in batches:
@@ -89,12 +88,11 @@ def _sign(width: int):
                 key = np.broadcast_to(salt, sign.shape[:2]).copy()
                 for r in range(ROWS):
                     key = K.mix(key ^ sign[:, :, r])
-                nodes = [int.from_bytes(node_of(s), "little", signed=True) if len(s) else None for s in sets]
                 yield pa.RecordBatch.from_arrays([
-                    batch.column(0).slice(at, to - at), batch.column(2).slice(at, to - at), pa.array(nodes, pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
+                    batch.column(0).slice(at, to - at), batch.column(2).slice(at, to - at), pa.array([len(s) for s in sets], pa.int64()),
+                    pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()),
                     pa.array([k.tobytes() if len(s) else None for k, s in zip(key, sets, strict=True)], pa.binary()),
-                    pa.array([(s[:SKETCH] >> np.uint64(32)).astype(np.uint32).tobytes() if len(s) else None for s in sets], pa.binary()),
-                ], names=["doc_id", "text_hash", "node", "n_shingles", "keys", "sketch"])
+                ], names=["doc_id", "text_hash", "n_shingles", "digest", "keys"])
 
     return run
 
@@ -107,107 +105,140 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.repeat(np.asarray(part.column(0)), BANDS))], names=["key", "node"])
 
 
-def _confirm(width: int, percent: int):
-    """Links of candidate pairs with their texts, on the full sets."""
+def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
+    """(n, n) numbers of hashes that each two sets share; each set's hashes are distinct."""
+    n = len(sets)
+    of, values = np.repeat(np.arange(n), [len(s) for s in sets]), np.concatenate(sets)
+    order = np.argsort(values, kind="stable")
+    of, values = of[order], values[order]
+    new = np.append(True, values[1:] != values[:-1])
+    run = np.cumsum(new) - 1
+    times = np.bincount(run)
+    shared = np.zeros(n * n, np.int64)
+    some = (times > 1) & (times * DENSE <= n)
+    r, o = run[some[run]], of[some[run]]
+    at, step = np.arange(len(r)), 0  # a hash of few sets: its pairs one by one, by their distance in its run
+    while len(at):
+        step += 1
+        at = at[at + step < len(r)]
+        at = at[r[at] == r[at + step]]
+        if len(at):
+            code, counts = np.unique(o[at] * n + o[at + step], return_counts=True)
+            shared[code] += counts
+    shared = shared.reshape(n, n)
+    shared += shared.T
+    many = (times > 1) & (times * DENSE > n)
+    column = np.cumsum(many) - 1
+    c, o = column[run[many[run]]], of[many[run]]
+    for low in range(0, int(many.sum()), COLUMNS):  # a hash of many sets: a column of ones
+        a, b = np.searchsorted(c, [low, low + COLUMNS])
+        ones = np.zeros((n, COLUMNS), np.float32)
+        ones[o[a:b], c[a:b] - low] = 1
+        shared += (ones @ ones.T).astype(np.int64)
+    return shared
+
+
+def forest(linked: np.ndarray) -> list[tuple[int, int]]:
+    """Edges of ``linked`` (n, n) that join what all its edges join, without a circle."""
+    left, edges = np.ones(len(linked), bool), []
+    for i in range(len(linked)):
+        reach = [i] if left[i] else []
+        left[i] = False
+        while reach:
+            u = reach.pop()
+            found = np.flatnonzero(linked[u] & left)
+            left[found] = False
+            edges += [(u, v) for v in found.tolist()]
+            reach += found.tolist()
+    return edges
+
+
+def _links(width: int, percent: int):
+    """Of one group (node, label, text): links between labels, as many as are needed to join what they join. Texts are whole."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [[s for _, _, data, offs in K.texts(batch.column(c)) for s in shingles(data, offs, width)] for c in (2, 3)]
-            keep = []
-            for i, (x, y) in enumerate(zip(*sets, strict=True)):
-                small, large = (x, y) if len(x) <= len(y) else (y, x)
-                if 100 * len(small) < percent * len(large):
-                    continue
-                at = np.searchsorted(large, small)
-                shared = int((large[np.minimum(at, len(large) - 1)] == small).sum())
-                if 100 * shared >= percent * (len(x) + len(y) - shared):
-                    keep.append(i)
-            yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(keep, pa.int64())) for c in (0, 1)], names=["a", "b"])
+    def run(table: pa.Table) -> pa.Table:
+        nodes, labels = (np.asarray(table.column(c)) for c in ("node", "label"))
+        sets = [s for _, _, data, offs in K.texts(table.column("text")) for s in shingles(data, offs, width)]
+        sizes, shared = np.array([len(s) for s in sets]), shared_counts(sets)
+        linked = (100 * shared >= percent * (sizes[:, None] + sizes[None, :] - shared)) & (labels[:, None] != labels[None, :])
+        edges = np.array(forest(linked), np.int64).reshape(-1, 2)
+        return pa.table({"a": pa.array(nodes[edges[:, 0]], pa.int64()), "b": pa.array(nodes[edges[:, 1]], pa.int64())})
 
     return run
 
 
-def _agreement(a: np.ndarray, b: np.ndarray, whole_a: bool, whole_b: bool) -> float:
-    """Similarity of two sets by the hashes up to which both sketches are complete."""
-    upto = min(a[-1] if not whole_a else 0xFFFFFFFF, b[-1] if not whole_b else 0xFFFFFFFF)
-    a, b = a[: np.searchsorted(a, upto, "right")], b[: np.searchsorted(b, upto, "right")]
-    shared = len(np.intersect1d(a, b))
-    return shared / max(1, len(a) + len(b) - shared)
+def _parts(n: Column, shingles_of_all: Column) -> Column:
+    return F.greatest(F.ceil(n / BLOCK), F.ceil(shingles_of_all / BLOCK_SHINGLES), F.lit(1)).cast("int")
 
 
-def _pairs(percent: int):
-    """Of one pair of blocks of a bucket: pairs that could join components, smaller node first."""
-    least = LEAST_AGREED + (percent - 80) / 100
+def _dealt(node: str, blocks: str) -> Column:
+    return F.pmod(F.xxhash64(node), F.col(blocks).cast("long")).cast("int")
 
-    def run(table: pa.Table) -> pa.Table:
-        nodes, labels, sides, sizes = (np.asarray(table.column(c)) for c in ("node", "label", "side", "n_shingles"))
-        sketch = [np.frombuffer(x, np.uint32) for x in table.column("sketch").to_pylist()]
-        n = len(nodes)
-        lengths = np.array([len(x) for x in sketch])
-        whole = sizes <= SKETCH
-        # shared hashes of all pairs, hash by hash
-        of, hashes = np.repeat(np.arange(n), lengths), np.concatenate(sketch)
-        order = np.argsort(hashes, kind="stable")
-        of, hashes = of[order], hashes[order]
-        cuts = np.flatnonzero(np.diff(hashes, prepend=~hashes[:1]))
-        ends = np.append(cuts[1:], len(hashes))
-        shared = np.zeros((n, n), np.int32)
-        for a, b in zip(cuts[ends - cuts > 1].tolist(), ends[ends - cuts > 1].tolist(), strict=True):
-            shared[np.ix_(of[a:b], of[a:b])] += 1
-        meet = np.triu(labels[:, None] != labels[None, :], 1)
-        if not (sides == 2).any():  # two blocks: pairs across them only
-            meet &= sides[:, None] != sides[None, :]
-        both = whole[:, None] & whole[None, :]
-        exact = 100 * shared >= percent * (lengths[:, None] + lengths[None, :] - shared)
-        found, root = [], {x: x for x in set(labels.tolist())}
-
-        def top(x):
-            while root[x] != x:
-                root[x] = x = root[root[x]]
-            return x
-
-        for i, j in zip(*np.nonzero(meet & both & exact), strict=True):
-            x, y = top(int(labels[i])), top(int(labels[j]))
-            if x != y:
-                root[x] = y
-                found.append((i, j))
-        # sizes whose ratio is below the threshold can't be a link
-        ratio = 100 * np.minimum(sizes[:, None], sizes[None, :]) >= percent * np.maximum(sizes[:, None], sizes[None, :])
-        for i, j in zip(*np.nonzero(meet & ~both & ratio & (shared > 0)), strict=True):
-            if _agreement(sketch[i], sketch[j], whole[i], whole[j]) >= least:
-                found.append((i, j))
-        ends_of = [sorted((int(nodes[i]), int(nodes[j]))) for i, j in found]
-        return pa.table({"a": pa.array([x[0] for x in ends_of], pa.int64()), "b": pa.array([x[1] for x in ends_of], pa.int64())})
 
-    return run
+def _compared(groups: DataFrame, by: list[str], classes: DataFrame, source: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links (a, b) within groups: rows of by, node and label."""
+    wanted = groups.select("node").distinct().join(classes.select("node", "rep"), "node")
+    texts = wanted.join(source, F.col("rep.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("rep.text_hash") == F.col("text_hash"))).groupBy("node").agg(F.first("text").alias("text"))
+    return groups.join(texts, "node").groupBy(*by).applyInArrow(_links(width, percent), "a long, b long").distinct()
 
 
-def _remaining(members: DataFrame, labels: DataFrame, sketches: DataFrame, tested: DataFrame, percent: int) -> DataFrame:
-    """Untested pairs in buckets that span several components. sketches: (node, n_shingles, sketch)."""
-    own = settled(members.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label")), "members")
-    spanning = own.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("n")).filter("x <> y")
-    spanning = spanning.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    rows = own.join(spanning, "key").join(sketches, "node").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks").cast("long")).cast("int"))
-    # a block meets itself once and every other block once
-    dealt = rows.select("key", "node", "label", "n_shingles", "sketch", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select(
-        "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "label", "n_shingles", "sketch",
-        F.when(F.col("block") == F.col("other"), 2).when(F.col("block") < F.col("other"), 0).otherwise(1).alias("side"),
-    )
-    pairs = dealt.groupBy("key", "i", "j").applyInArrow(_pairs(percent), "a long, b long").distinct()
-    return pairs.join(tested, ["a", "b"], "left_anti")
-
-
-def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of nodes that are links. nodes: (node, rep), the document (and its text's hash) that stands for a class."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node")
-    held = wanted.join(docs, (F.col("rep.doc_id") == F.col("doc_id")) & (F.col("rep.text_hash") == F.col("text_hash"))).select("node", "text")
-    return (
-        pairs.join(held.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
-        .join(held.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-        .select("a", "b", "text_a", "text_b")
-        .mapInArrow(_confirm(width, percent), "a long, b long")
-        .distinct()
+def _across(buckets: DataFrame, big: DataFrame, labels: DataFrame, classes: DataFrame) -> DataFrame:
+    """Groups (key, rest, i, j) of nodes with their labels, for the buckets of big centres that hold several components."""
+    rows = buckets.join(big.select("centre"), "centre").join(labels, "node", "left").join(classes.select("node", "n_shingles"), "node")
+    rows = rows.select("key", "node", F.coalesce("label", "node").alias("label"), "n_shingles")
+    held = rows.groupBy("key", "label").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("w"))
+    spanning = held.groupBy("key").agg(F.max(F.struct("n", "w", "label")).alias("lead"), F.sum("n").alias("n"), F.sum("w").alias("w"), F.count("*").alias("labels")).filter("labels > 1")
+    spanning = spanning.select(
+        "key", F.col("lead.label").alias("lead"), _parts(F.col("lead.n"), F.col("lead.w")).alias("leading"), _parts(F.col("n") - F.col("lead.n"), F.col("w") - F.col("lead.w")).alias("others")
     )
+    rows = rows.join(spanning, "key")
+    first, other = rows.filter("label = lead"), rows.filter("label <> lead")
+
+    def meet(df, rest, i, j):
+        return df.select("key", F.lit(rest).alias("rest"), i.alias("i"), j.alias("j"), "node", "label")
+
+    count = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    led = meet(first.withColumn("j", F.explode(count("others"))), False, _dealt("node", "leading"), F.col("j"))
+    leads = meet(other.withColumn("i", F.explode(count("leading"))), False, F.col("i"), _dealt("node", "others"))
+    own = other.withColumn("own", _dealt("node", "others")).withColumn("to", F.explode(count("others")))
+    return led.unionByName(leads).unionByName(meet(own, True, F.least("own", "to"), F.greatest("own", "to")))
+
+
+def duplicate_groups(docs: DataFrame, width: int = 5, percent: int = 80, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """near_duplicates() with text_hash (xxhash64 of the text) and stands: whether the row is the one that stands for its group.
+
+    That is the row of the smallest doc_id, null last; ties: the smaller text_hash, then any one. A row without words
+    stands for itself.
+    """
+    source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).withColumn("text_hash", F.xxhash64("text"))
+    signed = settled(source.mapInArrow(_sign(width), "doc_id long, text_hash long, n_shingles long, digest binary, keys binary").withColumn("row", F.monotonically_increasing_id()), "signatures")
+    real = signed.filter("digest is not null")
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash", "row")
+    classes = real.groupBy("digest").agg(F.min(place).alias("rep"), F.max("n_shingles").alias("n_shingles"))
+    classes = settled(classes.withColumn("node", F.col("rep.row")), "classes")
+    members = real.select(F.col("row").alias("node"), "keys").join(classes.select("node"), "node").mapInArrow(_buckets, "key long, node long")
+    centres = members.groupBy("key").agg(F.min("node").alias("centre"), F.count("*").alias("n")).filter("n > 1").select("key", "centre")
+    buckets = settled(members.join(centres, "key"), "buckets")
+    star = settled(buckets.filter("node <> centre").select("centre", "node").distinct().join(classes.select("node", "n_shingles"), "node"), "star")
+    blocks = star.groupBy("centre").agg(_parts(F.count("*"), F.sum("n_shingles")).alias("blocks"))
+    blocks = settled(blocks, "blocks")
+    dealt = star.join(blocks, "centre").select("centre", _dealt("node", "blocks").alias("block"), "node")
+    dealt = dealt.unionByName(blocks.select("centre", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("centre").alias("node")))
+    links = settled(_compared(dealt.withColumn("label", F.col("node")), ["centre", "block"], classes, source, width, percent), "links")
+    labels = components(links)
+    big = blocks.filter("blocks > 1")
+    if not big.isEmpty():
+        groups = settled(_across(buckets, big, labels, classes), "across")
+        more = settled(_compared(groups, ["key", "rest", "i", "j"], classes, source, width, percent), "more")
+        labels = components(links.unionByName(more))
+        released(groups, more)
+    released(buckets, star, blocks, links)
+    grouped = classes.join(labels, "node", "left").select("digest", "rep", F.coalesce("label", "node").alias("label"))
+    firsts = grouped.groupBy("label").agg(F.min("rep").alias("first"))
+    own = grouped.join(firsts, "label").select("digest", "first")
+    shown = ("doc_id", "text_hash", "n_shingles")
+    found = real.join(own, "digest").select(*shown, F.col("first.doc_id").alias("component_id"), (F.col("row") == F.col("first.row")).alias("stands"))
+    return found.unionByName(signed.filter("digest is null").select(*shown, F.col("doc_id").alias("component_id"), F.lit(True).alias("stands")))
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -215,35 +246,28 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, text: st
 
     Words are runs of bytes other than white space, A-Z lower-cased; a document's set is its distinct shingles of
     ``width`` words, or all its words as one shingle if they are fewer. Documents are linked if 100 * shared >= percent
-    * united. component_id: the smallest doc_id reachable over links; kept: whether that is the document's own. Empty,
-    null and blank texts have no shingles and are linked with nothing. Rows with a null doc_id are linked with nothing,
-    have no component_id and are kept. Rows that repeat a doc_id are documents of their own, linked by their texts
-    alone. An empty table gives no rows. Other columns are not looked at. Texts are processed whole, whatever their length.
+    * united, counted on the full sets (as hashes of 64 bits). component_id: the smallest doc_id reachable over links;
+    kept: whether that is the document's own. A pair of documents that share no bucket is not compared: at a similarity
+    of 0.8 that is a chance of 5 in 10**8. Empty, null and blank texts have no shingles, are linked with nothing and
+    kept. Rows that repeat a doc_id are documents of their own, linked by their texts alone. Rows with a null doc_id are
+    linked like others; a group of such rows alone has no component_id and one of them is kept. An empty table gives no
+    rows. Other columns are not looked at. Texts are processed whole, whatever their length.
     """
-    source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    source = source.withColumn("text_hash", F.xxhash64("text"))
-    signed = settled(source.mapInArrow(_sign(width), "doc_id long, text_hash long, node long, n_shingles long, keys binary, sketch binary").withColumn("row", F.monotonically_increasing_id()), "signatures")
-    real = signed.filter("node is not null and doc_id is not null")
-    classes = settled(real.groupBy("node").agg(F.min(F.struct("doc_id", "text_hash", "row")).alias("rep")), "classes")
-    bearers = classes.select("node", F.col("rep.row").alias("row"))  # the row whose signature stands for its class
-    members = real.select("row", "keys").join(bearers, "row").select("node", "keys").mapInArrow(_buckets, "key long, node long")
-    centres = members.groupBy("key").agg(F.min("node").alias("centre"), F.count("*").alias("n")).filter("n > 1").select("key", "centre")
-    shared = settled(members.join(centres, "key"), "buckets")
-    star = settled(shared.filter("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct(), "star")
-    nodes = classes.select("node", "rep")
-    links = settled(confirmed(star, nodes, source, width, percent), "links")
-    labels = components(links)
-    sketches = real.select("row", "n_shingles", "sketch").join(bearers, "row").select("node", "n_shingles", "sketch")
-    more = settled(_remaining(shared.select("key", "node"), labels, sketches, star, percent), "pairs")
-    if not more.isEmpty():
-        labels = components(links.unionByName(confirmed(more, nodes, source, width, percent)))
-    groups = settled(nodes.join(labels, "node"), "groups")
-    smallest = groups.groupBy("label").agg(F.min("rep.doc_id").alias("component_id"))
-    linked = groups.join(smallest, "label").select("node", "component_id")
-    own = nodes.join(linked, "node", "left").select("node", F.coalesce("component_id", "rep.doc_id").alias("component_id"))
-    lone = signed.filter("node is null or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    found = real.select("doc_id", "n_shingles", "node").join(own, "node").select("doc_id", "n_shingles", "component_id")
-    return found.unionByName(lone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull() & F.col("stands"))
+    return duplicate_groups(docs, width, percent, text, doc_id).select("doc_id", "n_shingles", "component_id", kept.alias("kept"))
+
+
+def deduplicated(docs: DataFrame, width: int = 5, percent: int = 80, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """The rows of docs, with all their columns, that stand for their group of near duplicates; see duplicate_groups().
+
+    Rows are known by doc_id and text. Of rows alike in both, one stays, any one if other columns differ; but rows
+    without words all stay. Columns may have any names.
+    """
+    known = duplicate_groups(docs, width, percent, text, doc_id).groupBy("doc_id", "text_hash").agg(F.count("*").alias("n"), F.count_if("stands").alias("stay")).filter("stay < n")
+    rows = docs.select(F.struct("*").alias("all"), F.col(doc_id).cast("long").alias("id"), F.xxhash64(text).alias("hash"))
+    marked = rows.join(known, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("hash") == F.col("text_hash")), "left")
+    one = marked.filter("stay = 1").groupBy("id", "hash").agg(F.first("all").alias("all"))
+    return marked.filter("stay is null").select("all.*").unionByName(one.select("all.*"))
 
 
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

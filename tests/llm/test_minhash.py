@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quire.llm import minhash as M
 from quire.llm.components import components
@@ -50,10 +51,11 @@ def family(seed, n, words, most):
         yield " ".join(w)
 
 
-@pytest.mark.parametrize("block", [8, 1024])
-def test_families(spark, monkeypatch, block):
+@pytest.mark.parametrize("block, whole", [(8, 1 << 22), (1024, 1 << 22), (1024, 3000)])
+def test_families(spark, monkeypatch, block, whole):
     monkeypatch.setattr(M, "BLOCK", block)
-    texts = [t for seed, words in ((1, 60), (2, 90), (3, 400)) for t in family(seed, 40, words, 6)] + [passage(100 + i, 50) for i in range(20)]
+    monkeypatch.setattr(M, "BLOCK_SHINGLES", whole)
+    texts = [t for seed, words in ((1, 60), (2, 90), (3, 400), (4, 900)) for t in family(seed, 40, words, words // 15)] + [passage(100 + i, 50) for i in range(20)]
     random.Random(1).shuffle(texts)
     rows = list(enumerate(texts))
     assert run(documents(spark, rows)) == brute(rows, 4)
@@ -61,10 +63,57 @@ def test_families(spark, monkeypatch, block):
 
 def test_repeated_and_empty(spark):
     got = sorted(((r["doc_id"] is None, r["doc_id"] or 0, r["component_id"], r["kept"], r["n_shingles"]) for r in M.near_duplicates(repeated(spark), 4).collect()), key=str)
-    assert [x[:4] for x in got if not x[0]] == [(False, 1, 1, True)] * 3 + [(False, 2, 1, False)] and [x[2:4] for x in got if x[0]] == [(None, True)] * 2
+    assert [x[:4] for x in got if not x[0]] == [(False, 1, 1, True)] * 3 + [(False, 2, 1, False)]
+    # a row without an id is a copy like others, but without words a document of its own
+    assert sorted((x[2:] for x in got if x[0]), key=str) == [(1, False, 37), (None, True, 0)]
     assert M.near_duplicates(empty(spark)).count() == 0
 
 
+def test_rows_without_ids(spark):
+    a, b = passage(11, 40), passage(12, 40)
+    got = [(r["component_id"], r["kept"]) for r in M.near_duplicates(documents(spark, [(None, a), (None, a), (None, b)]), 4).collect()]
+    assert sorted(got, key=str) == [(None, False), (None, True), (None, True)]
+
+
+def test_deduplicated_rows(spark):
+    a, b, c = passage(11, 40), passage(12, 40), passage(13, 40)
+    rows = [(0, a), (1, a), (1, b), (2, c), (2, c), (None, c), (None, None), (3, ""), (3, ""), (None, b + " " + c)]
+    df = documents(spark, rows).withColumn("gone", F.lit(1)).withColumn("stay", F.lit(2)).withColumn("all", F.lit(3))
+    out = M.deduplicated(df)
+    assert out.columns == df.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str) == sorted([(0, a), (1, b), (2, c), (None, None), (3, ""), (3, ""), (None, b + " " + c)], key=str)
+    assert M.deduplicated(empty(spark)).count() == 0
+
+
+def thue_morse(n):
+    """Words on which every polynomial modulo a power of two has one value."""
+    a, b = "a", "b"
+    for _ in range(n):
+        a, b = a + b, b + a
+    return a, b
+
+
+def test_words_alike_to_polynomials(spark):
+    one, two = thue_morse(10)
+    rows = [(1, f"x {one} y z"), (2, f"x {two} y z"), (3, f"x {one} y z")]
+    assert run(documents(spark, rows)) == brute(rows, 4)
+
+
+def test_shared_counts_and_forest():
+    r = random.Random(5)
+    sets = [np.array(sorted(r.sample(range(300), r.randint(1, 120))), np.uint64) for _ in range(70)]
+    sets += [np.arange(1000, 1400, dtype=np.uint64)] * 2
+    want = [[len(set(a.tolist()) & set(b.tolist())) for b in sets] for a in sets]
+    got = M.shared_counts(sets)
+    np.fill_diagonal(got, [len(s) for s in sets])
+    assert got.tolist() == want
+    linked = np.zeros((9, 9), bool)
+    for a, b in [(0, 1), (1, 2), (2, 0), (3, 4), (4, 5), (5, 6), (6, 3), (7, 3)]:
+        linked[a, b] = linked[b, a] = True
+    edges = M.forest(linked)
+    assert len(edges) == 6 and all(linked[e] for e in edges) and {v for _, v in edges} | {0, 3} == set(range(8))
+
+
 def test_densified_bins_agree_as_similarity():
     r = random.Random(3)
     for size in (20, 100, 1000):
