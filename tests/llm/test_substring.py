@@ -55,3 +55,22 @@ def test_repeated_and_empty(spark):
     assert S.remove_repeats(empty(spark)).count() == 0
     kept = S.remove_repeats(documents(spark), carry=("lang", "text", "score"))
     assert kept.columns[-3:] == ["lang", "text", "score"] and {(r["doc_id"], r["text"]) for r in kept.collect()} == set(odd_rows())
+
+
+def test_words_alike_to_polynomials(spark):
+    """Two words on which every polynomial modulo a power of two has one value."""
+    one, two = "a", "b"
+    for _ in range(10):
+        one, two = one + two, two + one
+    words = passage(9, 20).split()
+    rows = [(1, " ".join([*words[:10], one, *words[10:]])), (2, " ".join([*words[:10], two, *words[10:]])), (3, " ".join([*words[:10], one, *words[10:]]))]
+    got = run(documents(spark, rows))
+    assert got == brute(rows, 20) and got[2][1] == 0 and got[3][1] == 21
+
+
+def test_buckets_grow_with_the_input(spark, monkeypatch):
+    """Many small buckets give the same rows as few large ones."""
+    r = random.Random(8)
+    rows = [(i, " ".join(r.choice(["a", "b", "c"]) for _ in range(r.randint(0, 80)))) for i in range(60)]
+    monkeypatch.setattr(S, "BUCKET_WINDOWS", 5)
+    assert run(documents(spark, rows), 5) == brute(rows, 5)
