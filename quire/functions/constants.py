@@ -23,6 +23,11 @@ GENERIC_PREFIXES = ["this passage discusses", "this passage shows", "this shows
 # Typographic signs and what they are searched as.
 SUBSTITUTIONS = [("“", '"'), ("”", '"'), ("‘", "'"), ("’", "'"), ("–", "-"), ("—", "-"), (" ", " "), ("ﬁ", "fi"), ("ﬂ", "fl")]
 
+# Fields of an answer and of its rows.
+TOP_FIELDS = ["chapter_number", "chapter_title", "start_page", "end_page", "annotations"]
+ROW_FIELDS = ["page", "book_text", "annotation", "category", "grounding"]
+
+# Formats, rates and limits.
 EXTENSIONS = [".pdf", ".epub", ".mobi", ".txt", ".azw", ".azw3"]
 QUALITY_FACTORS = {"low": 0.85, "medium": 1.0, "high": 1.35}
 OUTPUT_TOKENS_LOW, OUTPUT_TOKENS_HIGH = 110, 280

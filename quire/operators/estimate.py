@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -10,6 +11,9 @@ from pyspark.sql import functions as F
 from quire.functions import constants as C
 from quire.functions.text import estimated_tokens, strip
 
+#: A count of a text's tokens: the stand-in, or functions.tokens.counter() of a real tokeniser.
+Tokens = Callable[[Column], Column]
+
 
 @dataclass(frozen=True)
 class Settings:
@@ -87,10 +91,10 @@ def split_selection(selected: DataFrame, sections: DataFrame) -> DataFrame:
     return valid.unionByName(selected.join(have, ["book", "number"], "left_anti").withColumn("is_valid", F.lit(False)))
 
 
-def section_index(pages: DataFrame, sections: DataFrame, qpp: int = 1, quality: str = "medium") -> DataFrame:
+def section_index(pages: DataFrame, sections: DataFrame, qpp: int = 1, quality: str = "medium", tokens: Tokens = estimated_tokens) -> DataFrame:
     """Pages, characters, tokens and output estimates of each section."""
     inside = pages.join(sections, "book").filter(F.col("page").between(F.col("start_page"), F.col("end_page")))
-    sums = inside.groupBy("book", "number").agg(F.sum(F.length("text")).alias("chars"), F.sum(estimated_tokens("text")).alias("tokens"))
+    sums = inside.groupBy("book", "number").agg(F.sum(F.length("text")).alias("chars"), F.sum(tokens(F.col("text"))).alias("tokens"))
     both = sections.join(sums, ["book", "number"], "left").withColumn("pages", F.col("end_page") - F.col("start_page") + 1)
     low, high = estimate_output_tokens(F.col("pages"), F.lit(qpp), F.lit(quality))
     return both.select("book", "number", "title", "pages", F.coalesce("chars", F.lit(0)).alias("chars"), F.coalesce("tokens", F.lit(0)).alias("tokens"), low.alias("output_low"), high.alias("output_high"))
@@ -125,14 +129,31 @@ def merge_chunks(rows: DataFrame) -> DataFrame:
     return rows.withColumn("seq", F.row_number().over(Window.partitionBy("book", "number").orderBy("page", "chunk_ix", "chunk_seq")).cast("long"))
 
 
-def doc_frame(pages: DataFrame, base_tokens: int = 100) -> DataFrame:
+def doc_frame(pages: DataFrame, base_tokens: int | Column = 100, tokens: Tokens = estimated_tokens) -> DataFrame:
     """The opening pages that a request is framed with: non-blank ones of the first 8 while their tokens and base_tokens stay within 1500."""
-    piece = F.concat(F.lit("=== PAGE "), F.col("page").cast("string"), F.lit(" ===\n"), "text", F.lit("\n"))
-    opening = pages.filter((F.col("page") <= C.FRAME_PAGES) & ~strip("text").isin("", C.NO_TEXT)).withColumn("tokens", estimated_tokens(piece))
+    opening = pages.filter((F.col("page") <= C.FRAME_PAGES) & ~strip("text").isin("", C.NO_TEXT)).withColumn("tokens", tokens(page_block("page", "text")))
     running = opening.withColumn("running", F.sum("tokens").over(Window.partitionBy("book").orderBy("page")) + base_tokens)
     return running.filter(F.col("running") <= C.FRAME_TOKENS)
 
 
+def page_block(page: str, text: str) -> Column:
+    return F.concat(F.lit("=== PAGE "), F.col(page).cast("string"), F.lit(" ===\n"), F.col(text), F.lit("\n"))
+
+
+def document_frame(books: DataFrame, sections: DataFrame, pages: DataFrame, tokens: Tokens = estimated_tokens) -> DataFrame:
+    """(book, frame): title, author, list of sections and the opening pages that fit with them; books: (book, title, author)."""
+    said = lambda c: F.coalesce(F.nullif(strip(F.coalesce(F.col(c), F.lit(""))), F.lit("")), F.lit("unavailable"))
+    line = F.concat(F.lit("- "), F.col("number").cast("string"), F.lit(". "), "title", F.lit(" (pages "), F.col("start_page").cast("string"), F.lit(" to "), F.col("end_page").cast("string"), F.lit(")"))
+    listed = sections.select("book", F.struct("number", line.alias("line")).alias("s")).groupBy("book").agg(F.array_sort(F.collect_list("s")).alias("s"))  # sections of one book
+    names = F.coalesce(F.array_join("s.line", "\n"), F.lit("- unavailable"))
+    head = F.concat(F.lit("The document (context; not to be quoted from here)\nTitle: "), said("title"), F.lit("\nAuthor: "), said("author"), F.lit("\nSections:\n"), names, F.lit("\n\nOpening text:"))
+    headed = books.join(listed, "book", "left").select("book", head.alias("head"))
+    sized = headed.withColumn("base", tokens(F.col("head")))
+    fit = doc_frame(pages.join(sized.select("book", "base"), "book"), F.col("base"), tokens)
+    opening = fit.groupBy("book").agg(F.array_sort(F.collect_list(F.struct("page", page_block("page", "text").alias("t")))).alias("o"))  # within the frame's tokens
+    return sized.join(opening, "book", "left").select("book", F.concat("head", F.lit("\n"), F.coalesce(F.array_join("o.t", "\n"), F.lit("unavailable"))).alias("frame"))
+
+
 def usage_rollup(usage: DataFrame) -> DataFrame:
     """One row for each book: tokens and their cost."""
     sums = usage.groupBy("book").agg(F.sum("prompt_tokens").alias("prompt_tokens"), F.sum("completion_tokens").alias("completion_tokens"))
@@ -140,19 +161,20 @@ def usage_rollup(usage: DataFrame) -> DataFrame:
     return total.withColumn("cost", F.round(cost(F.col("prompt_tokens"), F.col("completion_tokens")), 9))
 
 
-def user_message(chunks: DataFrame, frame: DataFrame, qpp: int = 1) -> DataFrame:
-    """chunks (book, chunk_ix, title, chunk_start, chunk_end, overlap_text, text) with message: the book's frame, the page before as context, what is asked for, the pages."""
-    opening = frame.groupBy("book").agg(F.array_sort(F.collect_list(F.struct("page", "text"))).alias("f"))  # within the frame's tokens
-    both = chunks.join(opening, "book", "left")
+def user_message(chunks: DataFrame, frames: DataFrame, qpp: int = 1, quality: str = "medium") -> DataFrame:
+    """chunks (book, number, title, chunk_start, chunk_end, overlap_page, overlap_text, text) with message: the book's frame, the page before as context, what is asked for, the pages."""
+    both = chunks.join(frames, "book", "left")
+    most = ((F.col("chunk_end") - F.col("chunk_start") + 1) * qpp).cast("string")
     body = F.concat_ws(
         "\n\n",
-        F.concat(F.lit("Context: the document's opening\n"), F.coalesce(F.array_join(F.transform("f", lambda x: x["text"]), "\n"), F.lit("unavailable"))),
-        F.when(F.col("overlap_text").isNotNull(), F.concat(F.lit("Context: the page before\n"), "overlap_text")),
-        F.concat(F.lit("Section: "), "title", F.lit(", pages "), F.col("chunk_start").cast("string"), F.lit(" to "), F.col("chunk_end").cast("string")),
-        F.concat(F.lit(f"Notes a page: at most {qpp}, "), density_tier(F.lit(qpp))),
-        "text",
+        F.col("frame"),
+        F.when(F.coalesce("overlap_text", F.lit("")) != "", F.concat(F.lit("The page before (context; not to be quoted)\n\n=== PAGE "), F.col("overlap_page").cast("string"), F.lit(" ===\n\n"), "overlap_text")),
+        F.lit("The pages to read; every quote is copied from one of them"),
+        F.concat(F.lit("Section "), F.col("number").cast("string"), F.lit(": "), "title", F.lit("\nPages "), F.col("chunk_start").cast("string"), F.lit(" to "), F.col("chunk_end").cast("string")),
+        F.concat(F.lit(f"Notes a page: at most {qpp}; quality: {quality}; notes in all: at most "), most),
+        F.col("text"),
     )
-    return both.withColumn("message", body).drop("f")
+    return both.withColumn("message", body).drop("frame")
 
 
 def retry_message(message: Column, errors: Column) -> Column:

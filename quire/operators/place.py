@@ -12,6 +12,7 @@ from quire.functions.text import normalize_whitespace, quote_variants, strip, to
 BAND, MARGIN_MIN, MARGIN_PREFERRED, PAD, FONT_MAX, FONT_MIN = 0.08, 72.0, 120.0, 3.0, 8.0, 6.0
 LINE_TOLERANCE, GAP_TOLERANCE, TRIES = 2.0, 3.0, 24
 HIGHLIGHT_RGB, HIGHLIGHT_OPACITY = (1.0, 0.92, 0.23), 0.35
+NOTE_FILL, NOTE_OPACITY, NOTE_TEXT, NOTE_BORDER, NOTE_BORDER_WIDTH, NOTE_FONT = (1.0, 1.0, 1.0), 1.0, (0.0, 0.0, 0.0), (0.15, 0.15, 0.15), 0.5, "helv"
 # Widths of printable ASCII from the space on in the public Helvetica metrics, in thousandths of the size.
 HELVETICA = [
     278, 278, 355, 556, 556, 889, 667, 191, 333, 333, 389, 584, 278, 333, 278, 278, 556, 556, 556, 556, 556, 556, 556, 556, 556, 556, 278, 278, 584, 584, 584, 556,
@@ -33,34 +34,45 @@ def target_page_range(targets: DataFrame, books: DataFrame) -> DataFrame:
 
 
 def word_lists(words: DataFrame) -> DataFrame:
-    """(book, page, words): a page's words in order, normalised. words: (book, page, word_ix, x0, y0, x1, y1, word)."""
-    item = F.struct("word_ix", "x0", "y0", "x1", "y1", normalize_whitespace("word").alias("word"))
-    return words.groupBy("book", "page").agg(F.array_sort(F.collect_list(item)).alias("words"))
+    """(book, page, words): the texts of a page's words in order, normalised. words: (book, page, word_ix, x0, y0, x1, y1, word)."""
+    item = F.struct("word_ix", normalize_whitespace("word").alias("word"))
+    return words.groupBy("book", "page").agg(F.array_sort(F.collect_list(item)).alias("words")).withColumn("words", F.col("words.word"))
 
 
 def word_sequence_match(needle: Column, words: Column) -> Column:
     """struct(start, stop) of the first run of words [start, stop) that reads as needle, else null.
 
     A word that ends in a hyphen may join with the next one into one word of the needle. Plain words that equal the
-    needle's first word, or may start it with a hyphen, are the only places tried.
+    needle's first word, or may start it with a hyphen, are the only places tried. Both are arrays of strings, columns as
+    they stand: an expression in their place is evaluated for every word.
     """
-    texts = F.transform(words, lambda x: x["word"])
-    n, m = F.size(needle), F.size(texts)
+    n, m = F.size(needle), F.size(words)
     first = F.get(needle, F.lit(0))
+    stem = lambda word: F.substr(word, F.lit(1), F.length(word) - 1)  # noqa: E731  without the hyphen
 
     def read(start: Column) -> Column:
         def step(at: Column, token: Column) -> Column:
-            here, after = F.get(texts, at), F.get(texts, at + 1)
-            joined = F.concat(F.regexp_replace(here, "-$", ""), after)
-            return F.when(at < 0, at).when(here == token, at + 1).when(F.endswith(here, F.lit("-")) & (joined == token), at + 2).otherwise(F.lit(-1))
+            here, after = F.get(words, at), F.get(words, at + 1)
+            joins = F.endswith(here, F.lit("-")) & (F.concat(stem(here), after) == token)
+            return F.when(at < 0, at).when(here == token, at + 1).when(joins, at + 2).otherwise(F.lit(-1))
 
         return F.aggregate(needle, start, step)
 
-    places = F.filter(F.sequence(F.lit(0), m - n), lambda i: (F.get(texts, i) == first) | (F.endswith(F.get(texts, i), F.lit("-")) & F.startswith(first, F.regexp_replace(F.get(texts, i), "-$", ""))))
+    starts = F.transform(words, lambda w, i: F.when((w == first) | (F.endswith(w, F.lit("-")) & F.startswith(first, stem(w))), i))
+    places = F.filter(F.array_compact(starts), lambda i: i <= m - n)
     runs = F.filter(F.transform(places, lambda i: F.struct(i.alias("start"), F.coalesce(read(i), F.lit(-1)).alias("stop"))), lambda r: r["stop"] > r["start"])
     return F.when((n > 0) & (n <= m), F.get(runs, F.lit(0)))
 
 
+def covered(needle: Column, words: Column) -> Column:
+    """struct(start, stop) of the words that the needle's first place in their text lies in, which may begin or end within a word; else null."""
+    text, quote = F.array_join(words, " "), F.array_join(needle, " ")
+    at = F.position(quote, text)
+    spaces = lambda c: F.length(c) - F.length(F.replace(c, F.lit(" "), F.lit("")))
+    start = spaces(F.substr(text, F.lit(1), at - 1))
+    return F.when((F.size(needle) > 0) & (at > 0), F.struct(start.alias("start"), (start + F.size(needle)).alias("stop")))
+
+
 def neighbor_pages(targets: DataFrame) -> DataFrame:
     """targets with try_page and priority: its own page, the one before, the one after."""
     offsets = F.array(*[F.struct(F.lit(k).alias("priority"), F.lit(d).alias("offset")) for k, d in enumerate((0, -1, 1))])
@@ -71,21 +83,32 @@ def find_quotes(targets: DataFrame, pages: DataFrame, words: DataFrame, books: D
     """targets (target_id, book, page, quote) with found_page, method, start, stop; method null and reason set for a miss.
 
     On each page tried, a spelling of the quote that the page's text holds (search_for; the text stands in for a
-    page's search) comes before a run of its words (word_sequence). The target's own page comes before its neighbours,
-    whose number the method then carries. start and stop are of the run of words, if there is one.
+    page's search) comes before a run of its words (word_sequence). The target's own page comes first; only where that
+    fails are its neighbours tried, the one before and the one after, whose number the method then carries. start and
+    stop are of the run of words, or else of the words that the first place of the quote, normalised, lies in.
     """
     ranged = target_page_range(targets, books)
-    tried = neighbor_pages(ranged.filter("reason is null").drop("reason", "total_pages"))
-    text = pages.select("book", F.col("page").alias("try_page"), "text")
-    lists = word_lists(words).select("book", F.col("page").alias("try_page"), "words")
-    both = tried.join(text, ["book", "try_page"]).join(lists, ["book", "try_page"], "left")
-    run = word_sequence_match(tokenize("quote"), F.coalesce("words", F.array().cast(f"array<struct<word_ix:bigint,x0:double,y0:double,x1:double,y1:double,word:string>>")))
-    searched = F.exists(quote_variants("quote"), lambda v: F.contains(F.col("text"), v))
-    found = both.withColumn("run", run).withColumn("how", F.when(searched, "search_for").when(F.col("run").isNotNull(), "word_sequence")).filter("how is not null")
-    best = found.groupBy("target_id").agg(F.min(F.struct("priority", "try_page", "how", "run")).alias("b"))
+    wanted = ranged.filter("reason is null").select("target_id", "book", "page", tokenize("quote").alias("needle"), quote_variants("quote").alias("variants"))
+    lists = word_lists(words)
+    held = pages.select("book", F.col("page").alias("try_page"), "text").join(lists.select("book", F.col("page").alias("try_page"), "words"), ["book", "try_page"], "left")
+
+    def tried(rows: DataFrame) -> DataFrame:
+        """rows (target_id, book, try_page, needle, variants, ...) with how and run."""
+        both = rows.join(held, ["book", "try_page"], "left")
+        # behind explode() the run is a column as it stands and is worked out once
+        with_run = both.withColumn("run", F.explode(F.array(word_sequence_match(F.col("needle"), F.coalesce("words", F.array().cast("array<string>"))))))
+        searched = F.coalesce(F.exists("variants", lambda v: F.contains(F.col("text"), v)), F.lit(False))
+        found = with_run.withColumn("how", F.when(searched, "search_for").when(F.col("run").isNotNull(), "word_sequence"))
+        return found.withColumn("run", F.coalesce("run", F.when(searched, covered(F.col("needle"), F.col("words"))))).drop("text", "words")
+
+    own = tried(wanted.withColumn("try_page", F.col("page"))).select("target_id", "book", "page", "needle", "variants", F.struct(F.lit(0).alias("priority"), "try_page", "how", "run").alias("own"))
+    beside = F.when(F.col("own.how").isNull(), F.array(*[F.struct(F.lit(k).alias("priority"), (F.col("page") + d).alias("try_page")) for k, d in ((1, -1), (2, 1))])).otherwise(F.array().cast("array<struct<priority:int,try_page:bigint>>"))
+    more = own.withColumn("t", F.explode_outer(beside)).select("target_id", "book", "own", "needle", "variants", F.col("t.priority").alias("priority"), F.col("t.try_page").alias("try_page"))
+    every = tried(more).withColumn("b", F.when(F.col("own.how").isNotNull(), F.col("own")).when(F.col("how").isNotNull(), F.struct("priority", "try_page", "how", "run")))
+    best = every.groupBy("target_id").agg(F.min("b").alias("b"))
     method = F.when(F.col("b.priority") > 0, F.concat("b.how", F.lit("_neighbor_p"), F.col("b.try_page").cast("string"))).otherwise(F.col("b.how"))
     out = ranged.join(best, "target_id", "left").withColumn("method", method)
-    reason = F.coalesce("reason", F.when(F.col("method").isNull(), "not_found"))
+    reason = F.coalesce("reason", F.when(F.col("method").isNull(), "quote_not_found"))
     return out.withColumn("reason", reason).select(*targets.columns, F.col("b.try_page").alias("found_page"), "method", F.col("b.run.start").alias("start"), F.col("b.run.stop").alias("stop"), "reason")
 
 

@@ -11,8 +11,6 @@ from quire.functions import constants as C
 from quire.functions.text import casefold, coerce_page, normalize_whitespace, strip, verified_quote, word_count
 
 KEY = ["book", "chapter_number"]
-TOP_FIELDS = ["chapter_number", "chapter_title", "start_page", "end_page", "annotations"]
-ROW_FIELDS = ["page", "book_text", "annotation", "category", "grounding"]
 
 
 def add_flags(flags: Column, *more: Column) -> Column:
@@ -149,13 +147,13 @@ def flagged_rows(rows: DataFrame) -> DataFrame:
 def structure_hard(responses: DataFrame) -> DataFrame:
     """responses (book, response: JSON text) with errors: what no repair can mend, in order; empty if sound."""
     top = F.coalesce(F.json_object_keys("response"), no_flags())
-    missing = F.transform(F.array_except(F.array(*map(F.lit, TOP_FIELDS)), top), lambda f: F.concat(F.lit("Missing field: "), f))
+    missing = F.transform(F.array_except(F.array(*map(F.lit, C.TOP_FIELDS)), top), lambda f: F.concat(F.lit("Missing field: "), f))
     notes = F.get_json_object("response", "$.annotations")
     items = F.from_json(notes, "array<string>")
     keys = lambda x: F.json_object_keys(x)  # noqa: E731  null unless x is an object
     of_row = F.flatten(F.transform(items, lambda x, i: F.when(
         keys(x).isNull(), F.array(F.concat(F.lit("annotations["), i.cast("string"), F.lit("] must be an object")))
-    ).otherwise(F.transform(F.array_except(F.array(*map(F.lit, ROW_FIELDS)), keys(x)), lambda f: F.concat(F.lit("annotations["), i.cast("string"), F.lit("] missing field: "), f)))))
+    ).otherwise(F.transform(F.array_except(F.array(*map(F.lit, C.ROW_FIELDS)), keys(x)), lambda f: F.concat(F.lit("annotations["), i.cast("string"), F.lit("] missing field: "), f)))))
     not_list = F.array(F.lit("annotations must be an array"))
     errors = F.when(F.size(missing) > 0, missing).when(~F.startswith(F.trim(notes), F.lit("[")), not_list).otherwise(F.coalesce(of_row, not_list))
     return responses.withColumn("errors", errors)
@@ -180,6 +178,10 @@ def structure_post(rows: DataFrame, sections: DataFrame, quotes_per_page: int) -
 
 def validated_pipeline(rows: DataFrame, pages: DataFrame, quotes_per_page: int) -> DataFrame:
     """The whole validation: range and duplicates, quotes, density, types. Order matters: rows outside their section go before any page is corrected."""
-    first = kept_rows(density_cap(rows.withColumn("validation_flags", no_flags())))
-    checked = verify_quotes(first, pages)
-    return normalize_row(kept_rows(density_cap(checked, quotes_per_page)))
+    return normalize_row(kept_rows(validation_steps(rows, pages, quotes_per_page)[1]))
+
+
+def validation_steps(rows: DataFrame, pages: DataFrame, quotes_per_page: int) -> tuple[DataFrame, DataFrame]:
+    """density_cap() of the rows as they came, without a limit, and of what is left of them, checked, with the limit."""
+    first = density_cap(rows.withColumn("validation_flags", no_flags()))
+    return first, density_cap(verify_quotes(kept_rows(first), pages), quotes_per_page)

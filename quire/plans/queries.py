@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import constants as C
 from quire.functions import text as T
-from quire.operators import cleaning, compare, estimate, place, provider, sections, verify
+from quire.operators import cleaning, compare, draw, estimate, place, provider, run, sections, verify
 from quire.plans import bindings as B
 from quire.plans.bindings import sql_lines, sql_norm, sql_strip, sql_words
 from quire.sources import files
@@ -59,9 +59,9 @@ def book_stem(spark, d):
 
 
 @query("output_paths", f"""WITH {PATHS}, s AS (SELECT page_id, regexp_replace(path, '[^/]*$', '') AS root, {STEM} AS stem, lpad((page_id % 30)::VARCHAR, 2, '0') AS ch FROM paths)
-SELECT page_id, root || stem || '_annot/json/' || stem || '_ch' || ch || '.json' AS chapter_json, root || stem || '_annot/csv/' || stem || '_ch' || ch || '.csv' AS chapter_csv,
-  root || stem || '_annot/' || stem || '_master.json' AS master_json, root || stem || '_annot/' || stem || '_master.csv' AS master_csv,
-  root || stem || '_annot/' || stem || '_highlighted.pdf' AS highlighted, root || stem || '_annot/logs/' || stem || '_ch' || ch || '_failed_2.txt' AS failed FROM s""")
+SELECT page_id, root || stem || '_notes/json/' || stem || '_ch' || ch || '.json' AS chapter_json, root || stem || '_notes/csv/' || stem || '_ch' || ch || '.csv' AS chapter_csv,
+  root || stem || '_notes/' || stem || '_master.json' AS master_json, root || stem || '_notes/' || stem || '_master.csv' AS master_csv,
+  root || stem || '_notes/' || stem || '_highlighted.pdf' AS highlighted, root || stem || '_notes/logs/' || stem || '_ch' || ch || '_failed_2.txt' AS failed FROM s""")
 def output_paths(spark, d):
     return _paths(spark, d).select("page_id", files.output_paths(F.col("path"), F.col("page_id") % 30, F.lit(2)).alias("o")).select("page_id", "o.*")
 
@@ -743,25 +743,39 @@ def neighbor_pages(spark, d):
     return place.neighbor_pages(B.targets(spark, d)).select("target_id", "priority", "try_page")
 
 
-@query("word_sequence_match")
+#: Runs of words without hyphens at line ends, which the bound pages do not have.
+RUNS_OF_WORDS = f"""{B.ANN}, {B.WORDS.removeprefix(B.CONV + ", ")}, {TARGET},
+lists AS (SELECT book, page, list({sql_norm('word')} ORDER BY ix) AS words FROM word GROUP BY ALL),
+wanted AS (SELECT target_id, book, page, quote AS q, CASE WHEN {sql_norm('quote')} = '' THEN [] ELSE string_split({sql_norm('quote')}, ' ') END AS needle FROM target)"""
+RUN_START = "CASE WHEN len(needle) > 0 THEN list_filter(range(0, len(words) - len(needle) + 1), lambda i: words[i + 1:i + len(needle)] = needle)[1] END"
+FOUND = f"""{RUNS_OF_WORDS}, turns AS (SELECT w.*, {_variants_sql()} AS variants, turn, page + [0, -1, 1][turn + 1] AS try_page, end_page FROM wanted w JOIN conv_sec USING (book), (SELECT unnest([0, 1, 2]) AS turn) WHERE page BETWEEN 1 AND end_page),
+tries AS (SELECT target_id, turn, try_page, len(needle) AS n, {RUN_START} AS start, array_to_string(needle, ' ') AS plain, array_to_string(words, ' ') AS whole, len(list_filter(variants, lambda v: contains(text, v))) > 0 AS is_held FROM turns t JOIN conv c ON c.book = t.book AND c.page = try_page LEFT JOIN lists l ON l.book = t.book AND l.page = try_page),
+best AS (SELECT * EXCLUDE (start), coalesce(start, CASE WHEN n > 0 AND contains(whole, plain) THEN len(string_split(whole[:instr(whole, plain) - 1], ' ')) - 1 END) AS start, start IS NOT NULL AS is_run FROM tries WHERE is_held OR start IS NOT NULL QUALIFY row_number() OVER (PARTITION BY target_id ORDER BY turn) = 1),
+placed AS (SELECT w.target_id, w.book, try_page AS found_page, CASE WHEN is_held THEN 'search_for' WHEN is_run THEN 'word_sequence' END || CASE WHEN turn > 0 THEN '_neighbor_p' || try_page ELSE '' END AS method, start::INTEGER AS start, (start + n)::INTEGER AS stop,
+  CASE WHEN NOT page BETWEEN 1 AND end_page THEN 'page_out_of_range' WHEN b.target_id IS NULL THEN 'quote_not_found' END AS reason FROM wanted w JOIN conv_sec USING (book) LEFT JOIN best b USING (target_id))"""
+
+
+@query("word_sequence_match", f"WITH {RUNS_OF_WORDS}, r AS (SELECT target_id, len(needle) AS n, {RUN_START} AS start FROM wanted JOIN lists USING (book, page)) SELECT target_id, start::INTEGER AS start, (start + n)::INTEGER AS stop FROM r")
 def word_sequence_match(spark, d):
-    """Rows only; tests compare it with a plain reading of the rule, hyphens included."""
-    lists = place.word_lists(B.words(spark, d))
-    both = B.targets(spark, d).join(lists, ["book", "page"])
-    return both.select("target_id", place.word_sequence_match(T.tokenize("quote"), F.col("words")).alias("r")).select("target_id", "r.start", "r.stop")
+    """Tests compare hyphens with a plain reading of the rule."""
+    wanted = B.targets(spark, d).select("target_id", "book", "page", T.tokenize("quote").alias("needle"))
+    both = wanted.join(place.word_lists(B.words(spark, d)), ["book", "page"])
+    return both.select("target_id", place.word_sequence_match(F.col("needle"), F.col("words")).alias("r")).select("target_id", "r.start", "r.stop")
 
 
-@query("find_quote_rects")
-def find_quote_rects(spark, d):
-    """Rows only; tests compare the runs of words with a plain reading of the rule."""
+def _found(spark, d):
     pages = B.conv_pages(spark, d)
-    return place.find_quotes(B.targets(spark, d), pages, B.words(spark, d), B.books_of(pages)).select("target_id", "found_page", "method", "start", "stop", "reason")
+    return place.find_quotes(B.targets(spark, d), pages, B.words(spark, d), B.books_of(pages))
+
+
+@query("find_quote_rects", f"WITH {FOUND} SELECT target_id, found_page, method, start, stop, reason FROM placed")
+def find_quote_rects(spark, d):
+    return _found(spark, d).select("target_id", "found_page", "method", "start", "stop", "reason")
 
 
-@query("highlight_report")
+@query("highlight_report", f"WITH {FOUND} SELECT book, count(method) AS highlighted, count(reason) AS missed FROM placed GROUP BY book")
 def highlight_report(spark, d):
-    pages = B.conv_pages(spark, d)
-    return place.highlight_report(place.find_quotes(B.targets(spark, d), pages, B.words(spark, d), B.books_of(pages)))
+    return place.highlight_report(_found(spark, d))
 
 
 EDGE = "edge AS (SELECT book, page, coalesce(max(x1) FILTER (y1 >= 792 * 0.08::DOUBLE AND y0 <= 792 - 792 * 0.08::DOUBLE), 0) AS edge FROM conv LEFT JOIN boxes USING (book, page) GROUP BY ALL), free AS (SELECT *, greatest(0, 612 - 6 - (edge + 8)) AS free_margin FROM edge)"
@@ -778,12 +792,22 @@ def margin_band(spark, d):
     return edge.select("book", "page", place.margin_band(F.col("free_margin"), F.col("width")).alias("b")).select("book", "page", "b.x0", "b.x1")
 
 
-@query("estimate_note_height")
+_WIDTHS = f"[{', '.join(map(str, place.HELVETICA))}]"
+#: Widths of a note's words in thousandths of the font size, and what a greedy wrap of a column of 72 points makes of them.
+WRAPPED = f"""notes_w AS (SELECT book, seq, list_transform(CASE WHEN {sql_norm('annotation')} = '' THEN [annotation] ELSE string_split({sql_norm('annotation')}, ' ') END,
+  lambda w: list_sum(list_transform(string_split(w, ''), lambda c: CASE WHEN ascii(c) BETWEEN 32 AND 126 THEN {_WIDTHS}[ascii(c) - 31] WHEN c = '' THEN 0 ELSE 556 END))) AS ws FROM ann),
+sizes AS (SELECT unnest([8.0, 7.5, 7.0, 6.5, 6.0])::DOUBLE AS size),
+folded AS (SELECT book, seq, size, list_reduce(list_transform(ws, lambda w: {{'lines': 1::DOUBLE, 'at': w * size / 1000}}),
+  lambda a, w: CASE WHEN a.at + 278 * size / 1000 + w.at <= 66 THEN {{'lines': a.lines, 'at': a.at + 278 * size / 1000 + w.at}} ELSE {{'lines': a.lines + 1 + greatest(0, ceil(w.at / 66) - 1), 'at': w.at}} END) AS f FROM notes_w, sizes),
+heights AS (SELECT book, seq, size, f.lines * (size + 4) + 8 AS height FROM folded)"""
+
+
+@query("estimate_note_height", f"WITH {B.ANN}, {WRAPPED} SELECT book, seq, round(height, 6) AS height FROM heights WHERE size = 8")
 def estimate_note_height(spark, d):
     return B.annotations(spark, d).select("book", "seq", F.round(place.estimate_note_height(F.col("annotation"), F.lit(72.0), F.lit(8.0)), 6).alias("height"))
 
 
-@query("note_fontsize")
+@query("note_fontsize", f"WITH {B.ANN}, {WRAPPED} SELECT book, seq, coalesce(max(size) FILTER (height + 4 <= 792 * 0.35), 6) AS size FROM heights GROUP BY book, seq")
 def note_fontsize(spark, d):
     return B.annotations(spark, d).select("book", "seq", place.note_fontsize(F.col("annotation"), F.lit(72.0), F.lit(792.0)).alias("size"))
 
@@ -801,21 +825,102 @@ def place_notes(spark, d):
     return place.place_notes(rows.select("book", "page", "seq", F.lit(534.0).alias("x0"), F.lit(606.0).alias("x1"), (72.0 + 14 * (F.col("seq") % 3)).alias("y"), size.alias("height"), F.lit(792.0).alias("page_height")))
 
 
+def _marked(spark, d):
+    notes = B.annotations(spark, d).select((F.col("book") * 100000 + F.col("seq")).alias("target_id"), "chapter_number", "annotation")
+    pages = B.conv_pages(spark, d)
+    targets = B.targets(spark, d).join(notes, "target_id")
+    return draw.marked(place.find_quotes(targets, pages, B.words(spark, d), B.books_of(pages)), B.words(spark, d), B.page_sizes(spark, d))
+
+
+NOTED = FOUND + f""", said AS (SELECT book * 100000 + seq AS target_id, CASE WHEN {NOTE} NOT IN ('', '[UNKNOWN]') THEN {NOTE} END AS note FROM ann),
+marked AS (SELECT p.target_id, p.book, found_page, method, start, stop, coalesce(reason, CASE WHEN start IS NULL THEN 'highlight_failed' END) AS reason, CASE WHEN reason IS NULL AND start IS NOT NULL THEN note END AS note FROM placed p JOIN said USING (target_id))"""
+
+
+@query("save_report", f"WITH {NOTED}, lined AS (SELECT m.*, stop - start AS rect_count FROM marked m) SELECT book, count(*) FILTER (reason IS NULL) AS highlighted_count, count(note) AS notes_count, count(reason) AS miss_count, coalesce(string_agg(method || ':' || rect_count || ':' || (note IS NOT NULL), ',' ORDER BY target_id) FILTER (reason IS NULL), '') AS hits, coalesce(string_agg(reason, ',' ORDER BY target_id) FILTER (reason IS NOT NULL), '') AS misses FROM lined GROUP BY book")
+def save_report(spark, d):
+    """The reports, read back from their JSON."""
+    hit, miss = "array<struct<rect_count:int,method:string,note_added:string>>", "array<struct<reason:string>>"
+    r = draw.report_json(_marked(spark, d)).select("book", F.from_json("json", f"highlighted_count bigint, notes_count bigint, miss_count bigint, hits {hit}, misses {miss}").alias("r")).select("book", "r.*")
+    hits = F.array_join(F.transform("hits", lambda h: F.concat_ws(":", h["method"], h["rect_count"].cast("string"), h["note_added"])), ",")
+    return r.select("book", "highlighted_count", "notes_count", "miss_count", hits.alias("hits"), F.array_join("misses.reason", ",").alias("misses"))
+
+
+@query("draw_rows")
+def draw_rows(spark, d):
+    """Tests compare the rows with a plain drawing of a small page."""
+    rows = draw.draw_rows(_marked(spark, d), B.words(spark, d), B.page_sizes(spark, d))
+    return rows.withColumn("fill", F.array_join("fill", ",")).withColumn("border", F.array_join("border", ","))
+
+
 # ---- the model's boundary
 
 
-@query("annotate_range")
-def annotate_range(spark, d):
-    """Rows only: the offline stand-in answers every chunk."""
+#: Sections of two pages; some are not selected, some fail for good (see provider.unsteady()) and stop their book.
+RUN_SEC = """sec AS (SELECT book, (page - 1) // 2 + 1 AS number, min(page) AS start_page, max(page) AS end_page FROM conv GROUP BY ALL), picked AS (SELECT * FROM sec WHERE NOT (book % 4 = 0 AND number = 3)),
+stops AS (SELECT book, min(number) AS stop FROM picked WHERE (book + number) % 7 = 6 GROUP BY book), done AS (SELECT p.* FROM picked p LEFT JOIN stops USING (book) WHERE stop IS NULL OR number < stop),
+told AS (SELECT c.book, d.number, c.page, string_split(""" + sql_norm("text") + """, ' ') AS w FROM conv c JOIN done d ON d.book = c.book AND c.page BETWEEN d.start_page AND d.end_page WHERE """ + sql_norm("text") + """ <> ''),
+notes AS (SELECT book, number, page, array_to_string(w[:8], ' ') AS quote, CASE WHEN len(w[3:10]) > 0 AND w[3:10] <> w[:8] THEN 2 ELSE 1 END AS n FROM told)"""
+
+
+def _run_inputs(spark, d):
     pages = B.conv_pages(spark, d)
-    chunks = cleaning.chapter_text(*_conv_numbered(spark, d)).select("book", F.col("number").alias("chapter_number"), F.lit(0).alias("chunk_ix"), "text")
-    return provider.annotate(chunks, provider.first_words)
+    numbered = pages.select("book", (F.floor((F.col("page") - 1) / 2) + 1).alias("number"), "page")
+    secs = numbered.groupBy("book", "number").agg(F.min("page").alias("start_page"), F.max("page").alias("end_page")).withColumn("title", F.concat(F.lit("Part "), F.col("number").cast("string")))
+    books = B.conv_sections(pages).select("book", F.concat(F.lit("Book "), F.col("book").cast("string")).alias("title"), F.lit("").alias("author"), F.concat(F.lit("f"), F.col("book").cast("string"), F.lit(".pdf")).alias("source_filename"))
+    selected = secs.filter("not (book % 4 = 0 and number = 3)").select("book", "number")
+    return pages, books, secs, selected.unionByName(books.select("book", F.lit(99).cast("long").alias("number")))
+
+
+def _run(spark, d):
+    return run.run_pipeline(*_run_inputs(spark, d), provider.unsteady)
+
+
+@query("annotate_range", f"WITH {B.CONV}, one AS (SELECT book, 1::BIGINT AS number, string_split({sql_norm('text')}, ' ') AS w FROM conv WHERE {sql_norm('text')} <> ''), n AS (SELECT book, number, CASE WHEN len(w[3:10]) > 0 AND w[3:10] <> w[:8] THEN 2 ELSE 1 END AS n FROM one) SELECT book, number, sum(n)::INTEGER AS notes, 'completed' AS status, 1 AS attempts, 'All' AS chapter_title, s.end_page FROM n JOIN conv_sec s USING (book) GROUP BY ALL")
+def annotate_range(spark, d):
+    """The offline stand-in answers every book as one section; number, title and pages are put right."""
+    pages, secs = _conv_numbered(spark, d)
+    books = _run_inputs(spark, d)[1]
+    answers = provider.annotate(run.requests(pages, books, secs, secs), provider.first_words)
+    return answers.select(
+        "book", "number", F.json_array_length(F.get_json_object("response", "$.annotations")).alias("notes"), "status", "attempts", F.get_json_object("response", "$.chapter_title").alias("chapter_title"), F.get_json_object("response", "$.end_page").cast("long").alias("end_page")
+    )
 
 
-@query("retry_loop")
+@query("retry_loop", f"""WITH {B.CONV}, {RUN_SEC} SELECT book, number, CASE WHEN (book + number) % 7 = 6 THEN 'failed' ELSE 'completed' END AS status, CASE WHEN (book + number) % 7 = 6 THEN 3 WHEN (book + number) % 5 = 4 THEN 2 ELSE 1 END AS attempts,
+  CASE WHEN (book + number) % 7 = 6 THEN 'call failed: the answer is not an object' ELSE '' END AS errors FROM picked""")
 def retry_loop(spark, d):
-    chunks = cleaning.chapter_text(*_conv_numbered(spark, d)).select("book", F.col("number").alias("chapter_number"), F.lit(0).alias("chunk_ix"), "text")
-    return provider.annotate(chunks, provider.unsteady).select("book", "chapter_number", "chunk_ix", "attempts", "error")
+    pages, books, secs, selected = _run_inputs(spark, d)
+    answers = provider.annotate(run.requests(pages, books, secs, secs.join(selected, ["book", "number"])), provider.unsteady)
+    return answers.select("book", "number", "status", "attempts", F.array_join("errors", "|").alias("errors"))
+
+
+@query("run_pipeline", f"WITH {B.CONV}, {RUN_SEC} SELECT book, number AS chapter_number, row_number() OVER (PARTITION BY book, number ORDER BY page) AS seq, page, quote AS book_text, 'The page opens with these words' AS annotation, 'CONTEXT' AS category, 'source_fact' AS grounding, CASE WHEN page % 2 = 1 THEN 'category_invalid' ELSE '' END AS validation_flags FROM notes")
+def run_pipeline(spark, d):
+    """The validated notes of a run with one note a page."""
+    return _run(spark, d).notes.select("book", "chapter_number", "seq", "page", "book_text", "annotation", "category", "grounding", flat())
+
+
+@query("run_summary", f"""WITH {B.CONV}, {RUN_SEC}, n AS (SELECT book, count(*) FILTER (page % 2 = 1) AS flagged_rows, (sum(n) - count(*))::BIGINT AS trimmed FROM notes GROUP BY book)
+SELECT book, 'Book ' || book AS title, array_to_string(list_sort(list(number)), ',') AS requested, coalesce(array_to_string(list_sort(list(number) FILTER (stop IS NULL OR number < stop)), ','), '') AS completed, any_value(stop) AS chapter_failed,
+  coalesce(any_value(flagged_rows), 0) AS flagged_rows, coalesce(any_value(trimmed), 0) AS trimmed FROM picked LEFT JOIN stops USING (book) LEFT JOIN n USING (book) GROUP BY book""")
+def run_summary(spark, d):
+    listed = lambda c: F.array_join(F.col(c).cast("array<string>"), ",")
+    return _run(spark, d).summary.select("book", "title", listed("chapters_requested").alias("requested"), listed("chapters_completed").alias("completed"), "chapter_failed", "flagged_rows", "trimmed")
+
+
+@query("run_master", f"""WITH {B.CONV}, {RUN_SEC}, c AS (SELECT d.book, d.number, d.start_page, d.end_page, count(quote) AS n, coalesce(string_agg(quote, '|' ORDER BY page), '') AS quotes FROM done d LEFT JOIN notes USING (book, number) GROUP BY ALL)
+SELECT book, 'Book ' || book AS name, row_number() OVER (PARTITION BY book ORDER BY number)::INTEGER - 1 AS ix, number AS chapter_number, 'Part ' || number AS chapter_title, start_page, end_page, 'f' || book || '.pdf' AS source_filename, n::INTEGER AS n, quotes FROM c""")
+def run_master(spark, d):
+    """The masters' chapters, read back from their JSON."""
+    note = "struct<chapter_number:bigint,chapter_title:string,start_page:bigint,end_page:bigint,source_filename:string,annotations:array<struct<book_text:string>>>"
+    masters = _run(spark, d).masters()
+    parts = masters.select("book", F.get_json_object("json", "$.book").alias("name"), F.posexplode(F.from_json(F.get_json_object("json", "$.chapters"), f"array<{note}>")).alias("ix", "c"))
+    return parts.select("book", "name", "ix", "c.chapter_number", "c.chapter_title", "c.start_page", "c.end_page", "c.source_filename", F.size("c.annotations").alias("n"), F.array_join("c.annotations.book_text", "|").alias("quotes"))
+
+
+@query("failed_responses", f"WITH {B.CONV}, {RUN_SEC} SELECT book, number AS chapter_number, unnest(CASE WHEN (book + number) % 7 = 6 THEN [1, 2, 3] WHEN (book + number) % 5 = 4 THEN [1] ELSE [] END)::INTEGER AS attempt FROM picked LEFT JOIN stops USING (book) WHERE stop IS NULL OR number <= stop")
+def failed_responses(spark, d):
+    return _run(spark, d).failed_responses().select("book", "chapter_number", "attempt")
 
 
 # ---- single rules, each by its own name
@@ -898,15 +1003,32 @@ def retry_message(spark, d):
     return sections_.select("book", estimate.retry_message(F.lit("m"), errors).alias("message"))
 
 
-@query("user_message", f"""WITH {B.CONV}, f AS (SELECT book, string_agg(text, chr(10) ORDER BY page) AS opening FROM conv WHERE page <= 2 GROUP BY book)
-SELECT c.book, c.page AS chunk_ix, md5('Context: the document''s opening' || chr(10) || opening || chr(10) || chr(10) || CASE WHEN p.text IS NULL THEN '' ELSE 'Context: the page before' || chr(10) || p.text || chr(10) || chr(10) END
-  || 'Section: All, pages ' || c.page || ' to ' || c.page || chr(10) || chr(10) || 'Notes a page: at most 3, balanced' || chr(10) || chr(10) || c.text) AS message
-FROM conv c JOIN f USING (book) LEFT JOIN conv p ON p.book = c.book AND p.page = c.page - 1""")
+FRAME = f"""heads AS (SELECT book, 'The document (context; not to be quoted from here)' || chr(10) || 'Title: Book ' || book || chr(10) || 'Author: unavailable' || chr(10) || 'Sections:' || chr(10) || '- 1. All (pages 1 to ' || end_page || ')' || chr(10) || chr(10) || 'Opening text:' AS head FROM conv_sec),
+blocks AS (SELECT book, page, head, '=== PAGE ' || page || ' ===' || chr(10) || text || chr(10) AS block FROM conv JOIN heads USING (book) WHERE page <= 8 AND {sql_strip('text')} NOT IN ('', '[NO TEXT FOUND]')),
+running AS (SELECT *, sum((length(block) + 3) // 4) OVER (PARTITION BY book ORDER BY page) + (length(head) + 3) // 4 AS used FROM blocks),
+frames AS (SELECT h.book, h.head || chr(10) || coalesce(string_agg(block, chr(10) ORDER BY page), 'unavailable') AS frame FROM heads h LEFT JOIN running r ON r.book = h.book AND used <= 1500 GROUP BY h.book, h.head)"""
+
+
+def _frames(spark, d):
+    pages, secs = _conv_numbered(spark, d)
+    return estimate.document_frame(_run_inputs(spark, d)[1], secs, pages)
+
+
+@query("document_frame", f"WITH {B.CONV}, {FRAME} SELECT book, md5(frame) AS frame FROM frames")
+def document_frame(spark, d):
+    return _frames(spark, d).select("book", F.md5("frame").alias("frame"))
+
+
+@query("user_message", f"""WITH {B.CONV}, {FRAME}
+SELECT c.book, c.page AS chunk_ix, md5(frame || chr(10) || chr(10) || CASE WHEN coalesce(p.text, '') = '' THEN '' ELSE 'The page before (context; not to be quoted)' || chr(10) || chr(10) || '=== PAGE ' || p.page || ' ===' || chr(10) || chr(10) || p.text || chr(10) || chr(10) END
+  || 'The pages to read; every quote is copied from one of them' || chr(10) || chr(10) || 'Section 1: All' || chr(10) || 'Pages ' || c.page || ' to ' || c.page || chr(10) || chr(10) || 'Notes a page: at most 3; quality: medium; notes in all: at most 3' || chr(10) || chr(10) || c.text) AS message
+FROM conv c JOIN frames f USING (book) LEFT JOIN conv p ON p.book = c.book AND p.page = c.page - 1""")
 def user_message(spark, d):
     pages = B.conv_pages(spark, d)
-    before = pages.select("book", (F.col("page") + 1).alias("page"), F.col("text").alias("overlap_text"))
-    chunks = pages.join(before, ["book", "page"], "left").select("book", F.col("page").alias("chunk_ix"), F.lit("All").alias("title"), F.col("page").alias("chunk_start"), F.col("page").alias("chunk_end"), "overlap_text", "text")
-    return estimate.user_message(chunks, pages.filter("page <= 2"), 3).select("book", "chunk_ix", F.md5("message").alias("message"))
+    before = pages.select("book", (F.col("page") + 1).alias("page"), F.col("page").alias("overlap_page"), F.col("text").alias("overlap_text"))
+    page = F.col("page")
+    chunks = pages.join(before, ["book", "page"], "left").select("book", F.lit(1).alias("number"), page.alias("chunk_ix"), F.lit("All").alias("title"), page.alias("chunk_start"), page.alias("chunk_end"), "overlap_page", "overlap_text", "text")
+    return estimate.user_message(chunks, _frames(spark, d), 3).select("book", "chunk_ix", F.md5("message").alias("message"))
 
 
 @query("first_misses", f"WITH {B.ANN}, {TARGET}, m AS (SELECT book, target_id, row_number() OVER (PARTITION BY book ORDER BY target_id) AS rank FROM target JOIN conv_sec USING (book) WHERE page > end_page) SELECT book, target_id, rank::INTEGER AS rank FROM m WHERE rank <= 10")

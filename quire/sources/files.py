@@ -13,7 +13,7 @@ from quire.functions.text import book_stem, coerce_page, normalize_quote, strip
 
 NOTE = "page string, book_text string, annotation string, category string, grounding string"
 CHAPTER = f"chapter_number string, chapter_title string, start_page int, end_page int, source_filename string, quality string, density string, annotations array<string>"
-#: Names under which CSV files give a target's fields; the first that isn't empty counts.
+# Names under which CSV files give a target's fields; the first that isn't empty counts.
 ALIASES = {
     "page": ["page", "Page"], "book_text": ["source_text", "Source Text", "book_text", "Book Text"], "annotation": ["annotation", "Annotation"],
     "annotation_type": ["category", "Category", "annotation_type", "Annotation Type"], "chapter": ["chapter", "Chapter"],
@@ -41,10 +41,10 @@ def convert(files: DataFrame, to_pages: Callable[[str, bytes], Iterator[tuple[in
     return files.select("path", "content").mapInPandas(run, "path string, page long, raw_text string")
 
 
-def output_paths(path: Column, chapter: Column, attempt: Column) -> Column:
-    """Names of everything that is written for a source file and chapter."""
+def output_paths(path: Column, chapter: Column, attempt: Column, suffix: str = "_notes") -> Column:
+    """Names of everything that is written for a source file and chapter, in a folder beside it: its name and ``suffix``."""
     stem, root = book_stem(path), F.regexp_replace(path, r"[^/]*$", "")
-    base = F.concat(root, stem, F.lit("_annot/"))
+    base = F.concat(root, stem, F.lit(f"{suffix}/"))
     ch = F.concat(stem, F.lit("_ch"), F.lpad(chapter.cast("string"), 2, "0"))
     return F.struct(
         F.concat(base, F.lit("json/"), ch, F.lit(".json")).alias("chapter_json"), F.concat(base, F.lit("csv/"), ch, F.lit(".csv")).alias("chapter_csv"),

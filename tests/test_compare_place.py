@@ -59,10 +59,10 @@ def test_word_sequences(spark):
     for _ in range(60):
         words = [r.choice(["a", "b", "so-", "me", "some", "thing"]) for _ in range(r.randint(1, 8))]
         needle = [r.choice(["a", "b", "some", "so-", "me"]) for _ in range(r.randint(1, 3))]
-        cases.append((needle, [(i, 0.0, 0.0, 0.0, 0.0, w) for i, w in enumerate(words)]))
-    df = spark.createDataFrame([(i, n, w) for i, (n, w) in enumerate(cases)], "i int, needle array<string>, words array<struct<word_ix:long,x0:double,y0:double,x1:double,y1:double,word:string>>")
+        cases.append((needle, words))
+    df = spark.createDataFrame([(i, n, w) for i, (n, w) in enumerate(cases)], "i int, needle array<string>, words array<string>")
     got = {x["i"]: x["r"] and tuple(x["r"]) for x in df.select("i", place.word_sequence_match(F.col("needle"), F.col("words")).alias("r")).collect()}
-    assert got == {i: read_words(n, [w[-1] for w in ws]) for i, (n, ws) in enumerate(cases)}
+    assert got == {i: read_words(n, ws) for i, (n, ws) in enumerate(cases)}
 
 
 def merged(rects):
@@ -134,4 +134,4 @@ def test_quotes_are_found(spark):
     books = spark.createDataFrame([("a", 3)], "book string, total_pages long")
     targets = spark.createDataFrame([(1, "a", 1, "one  two"), (2, "a", 2, "something here"), (3, "a", 2, "last words"), (4, "a", 9, "x"), (5, "a", 1, "last words")], "target_id int, book string, page long, quote string")
     got = {r["target_id"]: (r["found_page"], r["method"], r["reason"]) for r in place.find_quotes(targets, pages, words, books).collect()}
-    assert got == {1: (1, "search_for", None), 2: (2, "word_sequence", None), 3: (3, "search_for_neighbor_p3", None), 4: (None, None, "page_out_of_range"), 5: (None, None, "not_found")}
+    assert got == {1: (1, "search_for", None), 2: (2, "word_sequence", None), 3: (3, "search_for_neighbor_p3", None), 4: (None, None, "page_out_of_range"), 5: (None, None, "quote_not_found")}

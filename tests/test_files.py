@@ -77,7 +77,7 @@ def test_formats_and_paths(spark):
     with pytest.raises(Exception, match="unsupported format"):
         spark.range(1).select(files.require_format(F.lit("x.docx"))).collect()
     o = spark.range(1).select(files.output_paths(F.lit("in/My Book.pdf"), F.lit(3), F.lit(2)).alias("o")).first()["o"]
-    assert o["chapter_json"] == "in/My Book_annot/json/My Book_ch03.json" and o["failed"] == "in/My Book_annot/logs/My Book_ch03_failed_2.txt"
+    assert o["chapter_json"] == "in/My Book_notes/json/My Book_ch03.json" and o["failed"] == "in/My Book_notes/logs/My Book_ch03_failed_2.txt"
 
 
 def test_converter_boundary(spark, tmp_path):

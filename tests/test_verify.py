@@ -81,16 +81,46 @@ def test_settings():
             estimate.Settings(**bad)
 
 
-def test_retries(spark):
-    seen = []
+def requests_of(spark, rows):
+    """rows: (book, number, title, start_page, end_page, [(start, end, message)])."""
+    chunks = [(b, n, t, s, e, [(i, x, y, m) for i, (x, y, m) in enumerate(c)]) for b, n, t, s, e, c in rows]
+    return spark.createDataFrame(chunks, "book long, number long, title string, start_page long, end_page long, chunks array<struct<chunk_ix:int,chunk_start:long,chunk_end:long,message:string>>")
 
-    def answer(text, errors):
-        if text == "broken":
-            raise RuntimeError("no line")
-        return provider.first_words(text, errors) if errors or text != "late" else "nonsense"
 
-    chunks = spark.createDataFrame([(1, 1, 0, "late"), (2, 1, 0, "broken"), (3, 1, 0, "=== PAGE 1 ===\n\na b")], "book long, chapter_number long, chunk_ix int, text string")
-    got = {r["book"]: r for r in provider.annotate(chunks, answer).collect()}
-    assert (got[1]["attempts"], got[2]["attempts"], got[3]["attempts"]) == (2, 3, 1)
-    assert got[2]["response"] is None and "no line" in got[2]["error"] and json.loads(got[3]["response"])["annotations"][0]["book_text"] == "a b"
-    assert not seen
+def test_retries(spark):
+    def answer(message, errors):
+        if message.startswith("broken"):
+            raise RuntimeError("no line")
+        if message.startswith("late") and not errors:
+            return "nonsense"
+        if message.startswith("thin"):
+            return json.dumps({"annotations": [{"page": 1, "book_text": "q"}, "text"]})
+        if message.startswith("note"):
+            page = int(message[4:])
+            return json.dumps({"chapter_number": 77, "annotations": [{"page": p, "book_text": f"q{p}", "annotation": "n", "category": "METHOD", "grounding": "source_fact"} for p in (page + 1, page)]})
+        return json.dumps({"annotations": []})
+
+    rows = [
+        (1, 1, "A", 1, 2, [(1, 2, "late")]), (2, 1, "B", 1, 1, [(1, 1, "broken")]), (3, 4, "C", 1, 4, [(1, 2, "note1"), (3, 4, "note3")]), (4, 1, "D", 1, 1, [(1, 1, "thin")]),
+        (5, 1, "E", 1, 4, [(1, 2, "note1"), (3, 4, "thin")]),
+    ]
+    got = {r["book"]: r for r in provider.annotate(requests_of(spark, rows), answer).collect()}
+    assert [(got[b]["status"], got[b]["attempts"]) for b in range(1, 6)] == [("completed", 2), ("failed", 3), ("completed", 1), ("failed", 3), ("failed", 3)]
+    assert got[2]["response"] is None and got[2]["errors"] == ["call failed: no line"] and [f["attempt"] for f in got[2]["failures"]] == [1, 2, 3]
+    body = json.loads(got[3]["response"])
+    # number, title and pages are the section's, rows in order of their pages
+    assert (body["chapter_number"], body["chapter_title"], body["start_page"], body["end_page"]) == (4, "C", 1, 4) and [a["page"] for a in body["annotations"]] == [1, 2, 3, 4]
+    assert got[4]["errors"] == [f"annotations[0] missing field: {f}" for f in ("annotation", "category", "grounding")] + ["annotations[1] must be an object"]
+    # tokens of attempts that were answered; the second message of book 1 tells the errors
+    assert got[2]["prompt_tokens"] == 0 and got[3]["prompt_tokens"] == 4 and got[1]["prompt_tokens"] == provider.characters(provider.corrected("late", ["call failed: Expecting value: line 1 column 1 (char 0)"]))
+    assert provider.annotate(requests_of(spark, rows).limit(0), answer).count() == 0
+
+
+def test_rule_is_that_of_the_columns(spark):
+    """problems() in Python and structure_hard() in columns say the same."""
+    row = {"page": 1, "book_text": "q", "annotation": "n", "category": "c", "grounding": "g"}
+    whole = {"chapter_number": 1, "chapter_title": "t", "start_page": 1, "end_page": 2, "annotations": [row, {**row, "page": None}]}
+    bodies = [whole, {}, {**whole, "annotations": {}}, {**whole, "annotations": [1, [], row, {}]}, {k: v for k, v in whole.items() if k != "end_page"}]
+    df = spark.createDataFrame([(i, json.dumps(b)) for i, b in enumerate(bodies)], "book int, response string")
+    got = {r["book"]: r["errors"] for r in verify.structure_hard(df).collect()}
+    assert got == {i: provider.problems(b) for i, b in enumerate(bodies)}
