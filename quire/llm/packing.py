@@ -23,8 +23,8 @@ from quire.llm._kernels import texts
 
 #: Sequences of a partition, at most; sequence_id is partition * SPAN + number.
 SPAN = 1 << 33
-#: Open windows at which a partition closes the fullest half, so that its memory is bounded.
-OPEN_LIMIT = 4096
+#: Open windows that a partition holds, at most: 128 MB of ids at 2048 a window. A partition of 100 MB of text makes no more.
+OPEN_LIMIT = 16384
 #: Distinct word forms whose ids a worker keeps.
 CACHE_WORDS = 200_000
 _WHITE = r"[\t-\r\x1c- \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -237,14 +237,17 @@ class SumOfSquares:
                 yield window, pieces
 
 
-def pack(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 1, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 1, text: str = "text", doc_id: str = "doc_id", open_limit: int = OPEN_LIMIT) -> DataFrame:
     """Pieces of documents and their places in sequences of at most ``size`` tokens.
 
     Columns: SCHEMA and ``ids`` (the piece's ids, little-endian unsigned 32-bit). A document is its ids followed by
     end_id; null or empty text is end_id alone. Cut where a window ends; each id is in exactly one piece. Rows that
     repeat a doc_id (or have none) are packed as documents of their own. An empty table gives no rows. Other columns
     are not looked at, whatever their names. Within a sequence pieces lie gapless from offset 0. A text of any length
-    is cut into full windows as it is read.
+    is cut into full windows as it is read. At its end a partition fills its open windows, the fullest first, with pieces
+    cut from the emptiest, so that one at most stays partly filled; a partition that comes to hold more than
+    ``open_limit`` open windows does so for the fuller half of them at once and packs on by the sum of squares. No id is
+    left out either way.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -283,8 +286,8 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 1, tex
                         start += size
                     if start < total and (window := packer.place(total - start, (doc, total - start, start, ids[4 * start :], total))):
                         done(window)
-                if packer.n_open > OPEN_LIMIT:
-                    for window in packer.close(split, OPEN_LIMIT // 2):
+                if packer.n_open > open_limit:
+                    for window in packer.close(split, open_limit // 2):
                         done(window)
                 if len(rows) >= 2000:
                     yield flush()
