@@ -1,8 +1,10 @@
 """Quality scores by compression.
 
 Two zstandard dictionaries are built from good and from bad labelled texts. A text like the good ones gets shorter with
-the good dictionary; the difference of the two sizes over the text's length, with how far the text compresses at all,
-becomes a probability by logistic regression on labelled texts that the dictionaries have not seen.
+the good dictionary; the difference of the two sizes over the text's length becomes a probability by a logistic curve,
+fitted to labelled texts that the dictionaries have not seen. The curve weighs the two sizes each on its own: text that
+says the same over and over is short with either dictionary, and its small difference means less (the README has what
+this gains over one weight for both).
 """
 
 from __future__ import annotations
@@ -12,39 +14,42 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Labelled texts of each class that are learned from, at most (lowest id hashes).
 SAMPLE_DOCS = 1000
 #: Bytes of a dictionary, the compression level, and bytes that are compressed at a time: in short blocks the dictionary
 #: counts for more than what the text itself has said before. Dictionaries see texts in such blocks too.
-DICT_BYTES, LEVEL, BLOCK = 64 << 10, 3, 1024
+DICT_BYTES, LEVEL, BLOCK = 112 << 10, 3, 1024
+#: One of so many sampled texts is kept from the dictionaries, for the curve.
+FITTED = 4
+#: Blocks of a text that are learned from, at most, evenly spread over it; with SAMPLE_DOCS this bounds what the driver
+#: holds. Scores are of whole texts.
+TEXT_BLOCKS = 64
 THRESHOLD = 0.3
 
 
 class Model:
-    """dicts: good and bad dictionary, as bytes; weights: of the features and a constant; scale: (mean, deviation) of the features."""
+    """dicts: good and bad dictionary, as bytes; weights: of the difference, of the size with the good dictionary, and a constant."""
 
-    def __init__(self, dicts: list[bytes], weights: np.ndarray, scale: np.ndarray):
-        self.dicts, self.weights, self.scale = dicts, weights, scale
+    def __init__(self, dicts: list[bytes], weights: np.ndarray):
+        self.dicts, self.weights = dicts, weights
         self._ready: list | None = None
 
     def __getstate__(self):
-        return {"dicts": self.dicts, "weights": self.weights, "scale": self.scale, "_ready": None}
+        return {"dicts": self.dicts, "weights": self.weights, "_ready": None}
 
     def features(self, texts: list[bytes]) -> np.ndarray:
-        """Three numbers for each text: normalised difference, size with the good dictionary and size without any, over the length."""
+        """Of each text the size with the bad dictionary less that with the good one, and the latter, over the length; 0 for an empty text."""
         if self._ready is None:
             self._ready = []
-            plain = {"write_checksum": False, "write_content_size": False}
             for d in self.dicts:
                 held = zstandard.ZstdCompressionDict(d)
                 held.precompute_compress(level=LEVEL)
-                self._ready.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=held, write_dict_id=False, **plain))
-            self._ready.append(zstandard.ZstdCompressor(level=1, **plain))
-        out = np.zeros((len(texts), 3))
-        good, bad, alone = self._ready
+                self._ready.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=held, write_dict_id=False, write_checksum=False, write_content_size=False))
+        out = np.zeros((len(texts), 2))
+        good, bad = self._ready
         for i, t in enumerate(texts):
             if t:
                 view, g, b = memoryview(t), 0, 0
@@ -52,17 +57,11 @@ class Model:
                     block = view[at : at + BLOCK]
                     g += len(good.compress(block))
                     b += len(bad.compress(block))
-                out[i] = (b - g) / max(b, g), g / len(t), len(alone.compress(t)) / len(t)
+                out[i] = (b - g) / len(t), g / len(t)
         return out
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
-        x = (self.features(texts) - self.scale[0]) / self.scale[1]
-        return _sigmoid(_expand(x) @ self.weights)
-
-
-def _expand(x: np.ndarray) -> np.ndarray:
-    """Linear in all, so that a text nearer to one side than any seen keeps its side."""
-    return np.concatenate([x, np.ones((len(x), 1))], axis=1)
+        return _sigmoid(self.features(texts) @ self.weights[:-1] + self.weights[-1])
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
@@ -74,25 +73,30 @@ def held_out(doc_id) -> F.Column:
 
 
 def _fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """Logistic regression by Newton's steps, with a small penalty."""
-    x = _expand(x)
-    w = np.zeros(x.shape[1])
-    ridge = np.full(len(w), 1e-2)
-    ridge[-1] = 1e-6
+    """Weights of the features and a constant of a logistic curve, by Newton's steps, with a small penalty in the features' own scale."""
+    mean, spread = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-9)
+    x = np.concatenate([(x - mean) / spread, np.ones((len(x), 1))], axis=1)
+    w, ridge = np.zeros(x.shape[1]), np.append(np.full(x.shape[1] - 1, 1e-2), 1e-6)
     for _ in range(50):
         p = _sigmoid(x @ w)
         step = np.linalg.solve((x * (weight * np.maximum(p * (1 - p), 1e-9))[:, None]).T @ x + np.diag(ridge), x.T @ (weight * (y - p)) - ridge * w)
         w += step
         if np.abs(step).max() < 1e-8:
             break
-    return w
+    return np.append(w[:-1] / spread, w[-1] - (w[:-1] * mean / spread).sum())
+
+
+def _spread(text: str) -> Column:
+    """The text, or if it is longer than TEXT_BLOCKS blocks so many of them from all over it."""
+    step = F.length(text) / TEXT_BLOCKS
+    parts = F.transform(F.sequence(F.lit(0), F.lit(TEXT_BLOCKS - 1)), lambda i: F.substr(F.col(text), F.floor(i * step).cast("int") + 1, F.lit(BLOCK)))
+    return F.when(F.length(text) <= BLOCK * TEXT_BLOCKS, F.col(text)).otherwise(F.array_join(parts, ""))
 
 
 def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "quality", sample: int = SAMPLE_DOCS) -> Model:
-    """Learns from rows with text and a label of 0 or 1 that aren't held out: ``sample`` of each label at most, by hash of the id.
+    """Learns from rows with text and a label of 0 or 1 that aren't held out: ``sample`` of each label at most, by hash of the id, and of a text's blocks no more than TEXT_BLOCKS.
 
-    Half of them fill the dictionaries, the other half fits the probabilities, weighed by how often each label occurs. With a label missing, every score is the
-    share of good ones, or a half. Rows that repeat an id count once for each.
+    One of FITTED fits the probabilities, weighed by how often each label occurs, the others fill the dictionaries. With a label missing, every score is the share of good ones, or a half. Rows that repeat an id count once for each.
     """
     marks = labels.select(F.col(doc_id).cast("long").alias("id"), F.col(label).cast("int").alias("label")).filter(F.col("label").isin(0, 1) & ~held_out("id") & F.col("id").isNotNull())
     shares = {r["label"]: r["n"] for r in marks.groupBy("label").agg(F.count("*").alias("n")).collect()}  # two rows
@@ -100,20 +104,20 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
     source = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).filter(F.col("text").isNotNull())
     for k in (0, 1):
         chosen = marks.filter(F.col("label") == k).select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(sample)
-        found = source.join(F.broadcast(chosen), "id").orderBy(F.xxhash64("id"), "id", "text").limit(sample).collect()  # ``sample`` texts
+        held = source.join(F.broadcast(chosen), "id").select("id", _spread("text").alias("text"))
+        found = held.orderBy(F.xxhash64("id"), "id", "text").limit(sample).collect()  # ``sample`` texts of TEXT_BLOCKS blocks
         rows[k] = [r["text"].encode() for r in found]
     total = sum(shares.values())
     if min(len(rows[0]), len(rows[1])) < 4:
         share = shares.get(1, 0) / total if total else 0.5
         share = min(max(share, 1e-6), 1 - 1e-6)
-        return Model([b" " * 8] * 2, np.append(np.zeros(3), np.log(share / (1 - share))), np.array([[0.0] * 3, [1.0] * 3]))
-    dicts = [_dictionary(rows[k][::2]) for k in (1, 0)]
-    model = Model(dicts, np.zeros(4), np.array([[0.0] * 3, [1.0] * 3]))
-    x = model.features([t for k in (0, 1) for t in rows[k][1::2]])
-    y = np.concatenate([np.full(len(rows[k][1::2]), k) for k in (0, 1)])
-    model.scale = np.stack([x.mean(axis=0), np.maximum(x.std(axis=0), 1e-9)])
-    weight = np.array([shares[k] / max(1, len(rows[k][1::2])) for k in (0, 1)])[y]
-    model.weights = _fit((x - model.scale[0]) / model.scale[1], y, weight * len(y) / weight.sum())
+        return Model([b" " * 8] * 2, np.array([0.0, 0.0, np.log(share / (1 - share))]))
+    unseen = [rows[k][::FITTED] for k in (0, 1)]
+    model = Model([_dictionary([t for i, t in enumerate(rows[k]) if i % FITTED]) for k in (1, 0)], np.zeros(3))
+    x = model.features([t for texts in unseen for t in texts])
+    y = np.concatenate([np.full(len(texts), k) for k, texts in enumerate(unseen)])
+    weight = np.array([shares[k] / len(unseen[k]) for k in (0, 1)])[y]
+    model.weights = _fit(x, y, weight * len(y) / weight.sum())
     return model
 
 
@@ -121,7 +125,7 @@ def _dictionary(texts: list[bytes]) -> bytes:
     """A dictionary of the texts' blocks; the blocks themselves where there are too few for zstandard to choose from."""
     blocks = [t[at : at + BLOCK] for t in texts for at in range(0, len(t), BLOCK)]
     try:
-        return zstandard.train_dictionary(DICT_BYTES, blocks, k=64, d=6).as_bytes()
+        return zstandard.train_dictionary(DICT_BYTES, blocks, k=256, d=8).as_bytes()
     except zstandard.ZstdError:
         return b"".join(blocks)[-DICT_BYTES:].rjust(8)
 
@@ -129,7 +133,7 @@ def _dictionary(texts: list[bytes]) -> bytes:
 def score(docs: DataFrame, model: Model, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, score (0 to 1, higher: label 1 likelier) and predicted (1 from THRESHOLD on) of every row.
 
-    Null text is empty text, whose features are all 0. Rows that repeat a doc_id, or have none, are scored each by its
+    Null text is empty text, whose sizes are 0. Rows that repeat a doc_id, or have none, are scored each by its
     own text. An empty table gives no rows. Whole texts are compressed, whatever their length. Other columns are not
     looked at.
     """
