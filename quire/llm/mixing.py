@@ -11,19 +11,22 @@ in one task.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import math
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.llm._store import settled
 
 #: Buckets of the documents of one source and size.
 BUCKETS = 1024
-#: Steps of the offsets of consecutive sources; the golden ratio's fraction spreads them evenly.
-OFFSET_STEP = 0.6180339887498949
+#: Steps of the offsets of consecutive sources, and of those of consecutive seeds; the fractions of these numbers' multiples
+#: spread evenly.
+OFFSET_STEP, SEED_STEP = 0.6180339887498949, 0.7548776662466927
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def source_targets(sizes: DataFrame, weights: tuple[int, ...], share: float, most: float) -> DataFrame:
+def source_targets(sizes: DataFrame, weights: tuple[int, ...], share: float, most: float, seed: int = 0) -> DataFrame:
     """(source, source_size, n_docs, target, ratio, offset) of each source.
 
     Sources in code point order, null last, weigh ``weights`` in turn and share ``share`` of all words; a source gets
@@ -47,29 +50,34 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...], share: float, mos
     levels = ranked.withColumn("level", (F.col("total") - capped_before) / weight_left).withColumn("is_under", F.col("level") * F.col("weight") <= F.col("cap"))
     level = F.min(F.when(F.col("is_under"), F.struct((F.col("cap") / F.col("weight")).alias("at"), "k", "level"))).over(everything)["level"]
     target = F.least("cap", F.coalesce(F.col("the_level") * F.col("weight"), F.col("cap")))
+    offset = (F.col("k") + 1) * F.lit(OFFSET_STEP)
+    if seed:
+        offset = offset + F.lit(seed * SEED_STEP)
     return (
         levels.withColumn("the_level", level)
         .withColumn("target", target)
         .withColumn("ratio", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
-        .withColumn("offset", (F.col("k") + 1) * F.lit(OFFSET_STEP) - F.floor((F.col("k") + 1) * F.lit(OFFSET_STEP)))
+        .withColumn("offset", offset - F.floor(offset))
         .select("source", "source_size", "n_docs", "target", "ratio", "offset")
     )
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, text: str = "text", doc_id: str = "doc_id", source: str = "source") -> DataFrame:
-    """doc_id, source, size, source_size, target, copies and taken of every row; its text too where ``text`` is kept by the caller.
+def word_count(text: str) -> Column:
+    return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
 
-    size is the number of runs of bytes other than white space; null or empty text has size 0 and is placed first. Rows
-    that repeat a doc_id are documents of their own; those alike in every way tie and share their copies in no set
-    order. A null source is a source, the last. A source of size 0 has target 0 and gets no copies. A null doc_id counts
-    as bucket 0. An empty table gives no rows.
-    """
-    sized = docs.select(
-        F.col(doc_id).cast("long").alias("doc_id"), F.col(source).alias("source"),
-        F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-    ).withColumn("bucket", F.coalesce(F.pmod(F.col("doc_id"), F.lit(BUCKETS)), F.lit(0)).cast("int"))
+
+def _copies(place: Column, most: float) -> Column:
+    """Boundaries that the stretch of the document at ``place`` crosses; in exact numbers never more than ``most``, rounded up."""
+    ends = [F.floor(p.cast("double") * F.col("ratio") + F.col("offset")) for p in (place, place - 1)]
+    return F.least(ends[0] - ends[1], F.lit(math.ceil(most)))
+
+
+def _placed(docs: DataFrame, weights: tuple[int, ...], share: float, most: float, text: str, doc_id: str, source: str, seed: int) -> DataFrame:
+    """doc_id, source, size, source_size, target, ratio, offset and place (from 1, in its source) of every row."""
+    sized = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(source).alias("source"), word_count(text).alias("size"))
+    sized = sized.withColumn("bucket", F.coalesce(F.pmod(F.col("doc_id"), F.lit(BUCKETS)), F.lit(0)).cast("int"))
     sized = settled(sized, "sizes")  # read five times below
-    targets = source_targets(sized, weights, share, most)
+    targets = source_targets(sized, weights, share, most, seed)
     # the places before each size of a source, each bucket of a size, each document of a bucket
     by_bucket = sized.groupBy("source", "size", "bucket").agg(F.count("*").alias("n"))
     by_size = by_bucket.groupBy("source", "size").agg(F.sum("n").alias("n"))
@@ -86,21 +94,41 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
         places["source"].alias("p_source"), places["size"].alias("p_size"), places["bucket"].alias("p_bucket"),
         (F.col("before_size") + F.col("before_bucket")).alias("before"), "source_size", "target", "ratio", "offset",
     )
-    numbered = sized.withColumn("place", F.row_number().over(Window.partitionBy("source", "size", "bucket").orderBy("doc_id")))
+    numbered = sized.withColumn("nth", F.row_number().over(Window.partitionBy("source", "size", "bucket").orderBy("doc_id")))
     placed = numbered.join(places, F.col("source").eqNullSafe(F.col("p_source")) & (F.col("size") == F.col("p_size")) & (F.col("bucket") == F.col("p_bucket")))
-    place = (F.col("before") + F.col("place")).cast("double")
-    copies = F.floor(place * F.col("ratio") + F.col("offset")) - F.floor((place - 1) * F.col("ratio") + F.col("offset"))
-    # in exact numbers no stretch holds more than ``most`` boundaries
-    copies = F.least(copies, F.lit(int(most)))
-    return placed.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies")).withColumn("taken", F.col("copies") * F.col("size"))
-
-
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs, each as many times as mix() takes it. Rows that repeat a doc_id get the copies of the first of them, by place."""
-    mixed = mix(docs, **options).groupBy("doc_id").agg(F.max("copies").alias("__copies"))
-    key = options.get("doc_id", "doc_id")
-    taken = docs.join(mixed.withColumnRenamed("doc_id", "__id"), F.col(key).cast("long").eqNullSafe(F.col("__id"))).filter("__copies > 0")
-    return taken.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))).alias("__copy")).drop("__copy")
+    return placed.select("doc_id", "source", "size", "source_size", "target", "ratio", "offset", (F.col("before") + F.col("nth")).alias("place"))
+
+
+def mix(
+    docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, text: str = "text", doc_id: str = "doc_id", source: str = "source", seed: int = 0
+) -> DataFrame:
+    """doc_id, source, size, source_size, target, copies and taken of every row.
+
+    size is the number of runs of bytes other than white space; null or empty text has size 0 and is placed first. Rows
+    that repeat a doc_id are documents of their own; those of one source, size and doc_id tie and share their copies in
+    no set order. A null source is a source, the last. A source of size 0 has target 0 and gets no copies. A null doc_id
+    counts as bucket 0. An empty table gives no rows. Other columns are not looked at. The offsets follow from ``seed``
+    and the source's rank alone, so reruns agree.
+    """
+    placed = _placed(docs, weights, share, most, text, doc_id, source, seed)
+    return placed.select("doc_id", "source", "size", "source_size", "target", _copies(F.col("place"), most).alias("copies")).withColumn("taken", F.col("copies") * F.col("size"))
+
+
+def mixed_documents(
+    docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, text: str = "text", doc_id: str = "doc_id", source: str = "source", seed: int = 0
+) -> DataFrame:
+    """The rows of docs, with all their columns, each as many times as mix() takes it.
+
+    Rows of one source, size and doc_id have places in a row in mix(); here they take them in order of their text's
+    hash, each its own copies. Columns may have any names. Other cases as in mix().
+    """
+    placed = _placed(docs, weights, share, most, text, doc_id, source, seed)
+    keys = placed.groupBy("source", "size", "doc_id").agg(F.min("place").alias("first"), F.first("ratio").alias("ratio"), F.first("offset").alias("offset"))
+    rows = docs.select(F.struct("*").alias("all"), F.col(doc_id).cast("long").alias("r_id"), F.col(source).alias("r_source"), word_count(text).alias("r_size"), F.xxhash64(text).alias("r_hash"))
+    both = rows.join(keys, F.col("doc_id").eqNullSafe(F.col("r_id")) & F.col("source").eqNullSafe(F.col("r_source")) & (F.col("size") == F.col("r_size")))
+    nth = F.row_number().over(Window.partitionBy("r_id", "r_source", "r_size").orderBy("r_hash"))
+    taken = both.withColumn("copies", _copies(F.col("first") + nth - 1, most)).filter("copies > 0")
+    return taken.select("all", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("all.*")
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

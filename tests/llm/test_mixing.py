@@ -1,6 +1,8 @@
 import collections
 import re
 
+from pyspark.sql import functions as F
+
 from quire.llm import mixing
 
 from .common import documents, empty, odd_rows, repeated
@@ -66,3 +68,22 @@ def test_documents_are_repeated(spark):
     copies = {r["doc_id"]: r["copies"] for r in mixing.mix(df).collect()}
     out = mixing.mixed_documents(df)
     assert out.columns == df.columns and collections.Counter(r["doc_id"] for r in out.collect()) == collections.Counter({k: v for k, v in copies.items() if v})
+
+
+def test_repeated_ids_have_their_own_copies(spark):
+    rows = [(i // 3, f"{i} " + "w " * (i * 7 % 40)) for i in range(300)] + [(5, "same text")] * 4 + [(None, f"{i} x") for i in range(9)]
+    df = documents(spark, rows).withColumn("source", F.lit("s")).withColumn("all", F.lit(1)).withColumn("first", F.lit(2)).withColumn("r_id", F.lit(3))
+    taken = sum(r["taken"] for r in mixing.mix(df).collect())
+    out = mixing.mixed_documents(df)
+    got = out.collect()
+    assert out.columns == df.columns and sum(len(r["text"].split()) for r in got) == taken
+    copies = collections.Counter((r["doc_id"], r["text"]) for r in got)
+    assert all(n <= 2 * rows.count(k) for k, n in copies.items())
+
+
+def test_seed_and_caps_that_are_no_integers(spark):
+    df = documents(spark, [(i, "w " * (i * 37 % 90)) for i in range(900)])
+    copies = lambda seed: {r["doc_id"]: r["copies"] for r in mixing.mix(df, seed=seed).collect()}
+    assert copies(0) != copies(1) and copies(1) == copies(1)
+    got = mixing.mix(df.withColumn("source", F.lit("s")), share=2.5, most=2.5).collect()
+    assert abs(sum(r["taken"] for r in got) - got[0]["target"]) <= 180 and max(r["copies"] for r in got) == 3
