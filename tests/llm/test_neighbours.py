@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from quire.llm import neighbours
@@ -42,14 +43,32 @@ def test_recall_and_ties(spark):
 
 def test_blocks_and_windows(spark, monkeypatch):
     """With small blocks windows span several; recall stays above 0.9."""
-    monkeypatch.setattr(neighbours, "BLOCK", 64)
-    monkeypatch.setattr(neighbours, "WINDOW", 0.12)
+    monkeypatch.setattr(neighbours, "BLOCKS", (16, 64))
     rows, df = vectors(spark)
-    found = neighbours.search(df, df.filter("vec_id % 20 = 0").select("vec_id")).groupBy("query_id").agg(F.collect_list("vec_id").alias("v")).collect()
+    found = neighbours.search(df, df.filter("vec_id % 20 = 0").select("vec_id"), window=0.12).groupBy("query_id").agg(F.collect_list("vec_id").alias("v")).collect()
     expected = brute(rows, [i for i, _ in rows if i is not None and i % 20 == 0], 20)
     assert sum(len(set(r["v"]) & set(expected[r["query_id"]])) for r in found) >= 0.9 * 20 * len(expected)
 
 
+@pytest.mark.parametrize("spread", [0.0, 0.5, 1.0])
+def test_uneven_lengths(spark, monkeypatch, spread):
+    """Lengths of a lognormal spread, independent coordinates, production windows, many blocks: recall of the largest inner products."""
+    monkeypatch.setattr(neighbours, "BLOCKS", (16, 4096))
+    r = np.random.default_rng(5)
+    x = r.normal(size=(6000, 32))
+    x *= (np.exp(spread * r.normal(size=6000)) / np.linalg.norm(x, axis=1))[:, None]
+    df = spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>")
+    found = neighbours.search(df, df.filter("vec_id % 20 = 0").select("vec_id")).collect()
+    scores = x[::20] @ x.T
+    scores[np.arange(300), np.arange(0, 6000, 20)] = -np.inf
+    best = np.argsort(-scores, axis=1)[:, :20]
+    got = {}
+    for row in found:
+        assert abs(row["score"] - x[row["query_id"]] @ x[row["vec_id"]]) < 1e-12
+        got.setdefault(row["query_id"], set()).add(row["vec_id"])
+    assert sum(len(got[20 * i] & set(b.tolist())) for i, b in enumerate(best)) >= 0.9 * 20 * 300
+
+
 def test_few_and_none(spark):
     few = spark.createDataFrame([(0, [1.0, 0.0]), (0, [1.0, 0.0]), (1, [0.5, 0.5]), (20, [0.0, 1.0])], "vec_id long, embedding array<double>")
     got = {(r["query_id"], r["rank"], r["vec_id"]): r["score"] for r in neighbours.search(few, few.filter("vec_id % 20 = 0").select("vec_id")).collect()}
