@@ -16,19 +16,25 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
 from quire.llm import _kernels as K
 
-#: Labelled documents that the scores are learned from, at most: those whose ids hash lowest.
-SAMPLE_DOCS = 6000
-#: Hash table of n-grams: log2 of its size. N-grams of 1 to MOST_GRAM characters, and whole words.
-TABLE_BITS, MOST_GRAM = 18, 4
+#: Labelled documents of each language that the scores are learned from, about: those whose ids hash lowest; all, if a
+#: language has fewer.
+SAMPLE_DOCS = 1500
+#: Hash table of n-grams: log2 of its size, down to LEAST_BITS so that all languages' tables together hold MOST_CELLS
+#: numbers at most (for more than MOST_CELLS / 2**LEAST_BITS languages: 2**LEAST_BITS each). N-grams of 1 to MOST_GRAM
+#: characters, and whole words.
+TABLE_BITS, LEAST_BITS, MOST_CELLS, MOST_GRAM = 18, 10, 1 << 24, 4
 #: Cost of a switch, in the same nats as the scores; scores of one word lie within +-WORD_LIMIT.
 SWITCH_PENALTY, WORD_LIMIT = 6.0, 8.0
 #: A language is a candidate for a script that has this share of its letters.
 SCRIPT_SHARE = 0.01
-#: Words of distinct spelling that a worker keeps scores of.
-CACHE_WORDS = 200_000
+#: Words of distinct spelling that a worker keeps scores of, and scores that it keeps, at most.
+CACHE_WORDS, CACHE_SCORES = 200_000, 8 << 20
+#: A document's least mean score of a word in its language, in nats, at which identified() takes it for that language.
+LEAST_EVIDENCE = 0.25
 #: Words whose n-grams are taken at a time.
 GRAM_WORDS = 20_000
 UNKNOWN = "und"
@@ -50,7 +56,11 @@ _HAS_LETTER = regex.compile(r"\p{L}")
 _SPACE = r"[\s\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
 
 
-def _grams(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def table_bits(n_langs: int) -> int:
+    return max(LEAST_BITS, min(TABLE_BITS, (MOST_CELLS // max(1, n_langs)).bit_length() - 1))
+
+
+def _grams(words: list[str], bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(word of each n-gram, its cell in the table), and each word's script and number of letters."""
     text = "".join("\x00" + w + "\x00" for w in words)
     codes = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64)
@@ -68,7 +78,7 @@ def _grams(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
             if n == 1:
                 same &= inside
             rows.append(word[: len(value)][same])
-            cells.append(((value[same] ^ (value[same] >> np.uint64(29))) >> np.uint64(64 - TABLE_BITS - 3)) & np.uint64((1 << TABLE_BITS) - 1))
+            cells.append(((value[same] ^ (value[same] >> np.uint64(29))) >> np.uint64(64 - bits - 3)) & np.uint64((1 << bits) - 1))
     return np.concatenate(rows), np.concatenate(cells).astype(np.int64), votes.argmax(axis=1), lengths - 2
 
 
@@ -87,20 +97,22 @@ def _tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
 def _count(langs: list[str]):
     """Partial n-gram counts of a partition's texts, a row for each language and cell."""
 
+    number, bits = {x: k for k, x in enumerate(langs)}, table_bits(len(langs))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros((len(langs), 1 << TABLE_BITS), np.float32)
+        counts = np.zeros((len(langs), 1 << bits), np.float32)
         scripts = np.zeros((len(langs), len(SCRIPTS)), np.int64)
         for batch in batches:
-            lang = np.array([langs.index(x) for x in batch.column(0).to_pylist()])
+            lang = np.array([number[x] for x in batch.column(0).to_pylist()])
             for at, to, _, _ in K.texts(batch.column(1)):
                 offs, index, forms = _tokens(batch.column(1).slice(at, to - at).fill_null(""))
                 of = np.repeat(lang[at:to], np.diff(offs))
                 times = {k: np.bincount(index[of == k], minlength=len(forms)) for k in np.unique(of).tolist()}
                 for a in range(0, len(forms), GRAM_WORDS):
-                    row, cell, script, n = _grams([_letters(f) for f in forms[a : a + GRAM_WORDS]])
+                    row, cell, script, n = _grams([_letters(f) for f in forms[a : a + GRAM_WORDS]], bits)
                     for k, seen in times.items():
                         some = seen[a : a + GRAM_WORDS]
-                        counts[k] += np.bincount(cell, some[row], 1 << TABLE_BITS).astype(np.float32)
+                        counts[k] += np.bincount(cell, some[row], 1 << bits).astype(np.float32)
                         scripts[k] += np.bincount(script, some * n, len(SCRIPTS)).astype(np.int64)
         for k in range(len(langs)):
             cells = np.flatnonzero(counts[k])
@@ -132,7 +144,7 @@ class Model:
         return np.concatenate([x for x, _ in parts]), np.concatenate([n for _, n in parts])
 
     def _some_scores(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        row, cell, script, n = _grams(words)
+        row, cell, script, n = _grams(words, self.scores.shape[0].bit_length() - 1)
         out = np.stack([np.bincount(row, self.scores[cell, k], len(words)) for k in range(len(self.langs))], axis=1) if self.langs else np.zeros((len(words), 0))
         # an n-gram overlaps with others, so their sum says too much
         out = np.clip(out / MOST_GRAM, -WORD_LIMIT, WORD_LIMIT)
@@ -145,7 +157,7 @@ class Model:
 def viterbi(scores: np.ndarray, offs: np.ndarray, penalty: float) -> np.ndarray:
     """The best label of every word; scores: (words, labels), offs: first word of each text with the end. Ties stay, or go to the first label."""
     lengths, n_labels = np.diff(offs), scores.shape[1]
-    labels = np.zeros(len(scores), np.int8)
+    labels = np.zeros(len(scores), np.int16)
     order = np.argsort(-lengths, kind="stable")
     order = order[lengths[order] > 0]
     at = 0
@@ -158,7 +170,7 @@ def viterbi(scores: np.ndarray, offs: np.ndarray, penalty: float) -> np.ndarray:
         best = scores[first].copy()
         steps = int(n[0])
         switched = np.zeros((steps, len(some), n_labels), bool)
-        leader = np.zeros((steps, len(some)), np.int8)
+        leader = np.zeros((steps, len(some)), np.int16)
         live = len(some)
         for t in range(1, steps):
             while n[live - 1] <= t:
@@ -193,7 +205,7 @@ def _label(model_of, penalty: float, spans: bool):
             for at, to, _, _ in K.texts(batch.column(1)):
                 ids, column = batch.column(0).slice(at, to - at), batch.column(1).slice(at, to - at).fill_null("")
                 offs, index, forms = _tokens(column)
-                if len(known) > CACHE_WORDS:
+                if len(known) > min(CACHE_WORDS, CACHE_SCORES // max(1, n_labels)):
                     known.clear()
                     model.table, model.sizes = np.zeros((0, n_labels), np.float32), np.zeros(0, np.int64)
                 if new := [f for f in forms if f not in known]:
@@ -207,14 +219,16 @@ def _label(model_of, penalty: float, spans: bool):
                 says = np.flatnonzero(sizes > 0)
                 text = np.repeat(np.arange(len(offs) - 1), np.diff(offs))[says]
                 cuts = np.searchsorted(text, np.arange(len(offs)))
-                labels = viterbi(model.table[slot[says]], cuts, penalty) if n_labels else np.zeros(len(says), np.int8)
+                labels = viterbi(model.table[slot[says]], cuts, penalty) if n_labels else np.zeros(len(says), np.int16)
                 weight = np.bincount(text * max(1, n_labels) + labels, sizes[says], len(column) * max(1, n_labels)).reshape(len(column), -1)
                 total = weight.sum(axis=1)
                 known_lang = (total > 0) & bool(n_labels)
                 pick = weight.argmax(axis=1)
                 score = np.where(known_lang, weight.max(axis=1) / np.maximum(total, 1), 0.0)
-                columns = [ids, pa.array([model.langs[p] if k else UNKNOWN for p, k in zip(pick.tolist(), known_lang.tolist(), strict=True)], pa.string()), pa.array(score)]
-                names = ["doc_id", "lang_pred", "score"]
+                gained = model.table[slot[says], labels] if n_labels else np.zeros(len(says))
+                evidence = np.bincount(text, gained, len(column)) / np.maximum(np.bincount(text, minlength=len(column)), 1)
+                columns = [ids, pa.array([model.langs[p] if k else UNKNOWN for p, k in zip(pick.tolist(), known_lang.tolist(), strict=True)], pa.string()), pa.array(score), pa.array(evidence)]
+                names = ["doc_id", "lang_pred", "score", "evidence"]
                 if spans:
                     turn = np.flatnonzero(np.append(True, (text[1:] != text[:-1]) | (labels[1:] != labels[:-1])) if len(says) else np.zeros(0, bool))
                     word = says - offs[text]
@@ -237,13 +251,21 @@ def held_out(doc_id) -> F.Column:
 
 
 def train(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", lang: str = "lang", sample: int = SAMPLE_DOCS) -> Model:
-    """Learns from text and lang of rows that have both and aren't held out: of ``sample`` of them at most, those whose ids hash lowest (ties: smaller id)."""
+    """Learns from text and lang of rows that have both and aren't held out: of each language that any such row has, about ``sample`` of them.
+
+    A row is taken if its id's hash lies below the share that its language's rows leave for ``sample``, so every
+    language is learned, however rare, without a sort.
+    """
     labelled = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(lang).alias("lang"), F.col(text).alias("text")).filter(~held_out("id") & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("id").isNotNull())
-    chosen = labelled.select("id").orderBy(F.xxhash64("id"), "id").limit(sample)  # 8 bytes for each of ``sample`` rows
-    rows = labelled.join(F.broadcast(chosen.distinct()), "id", "left_semi").select("lang", "text")
-    langs = sorted(r["lang"] for r in rows.select("lang").distinct().collect())  # at most ``sample``
-    counts, scripts = np.zeros((len(langs), 1 << TABLE_BITS)), np.zeros((len(langs), len(SCRIPTS)))
+    whole = 1 << 31
+    found = sorted(tuple(r) for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect())  # a row for each language
+    langs = [x for x, _ in found]
+    bits = table_bits(len(langs))
+    counts, scripts = np.zeros((len(langs), 1 << bits)), np.zeros((len(langs), len(SCRIPTS)))
     if langs:
+        shares = docs.sparkSession.createDataFrame([(x, whole if n <= sample else max(1, whole * sample // n)) for x, n in found], "of string, share long")
+        hashed = F.pmod(F.xxhash64("id"), F.lit(whole))
+        rows = labelled.join(F.broadcast(shares), F.col("lang") == F.col("of")).filter(hashed < F.col("share")).select("lang", "text")
         # a table of fixed size for each language
         table = rows.mapInArrow(_count(langs), "lang int, cell long, n double").groupBy("lang", "cell").agg(F.sum("n").alias("n")).toArrow()
         k, cell, n = (np.asarray(table.column(c)) for c in ("lang", "cell", "n"))
@@ -253,26 +275,32 @@ def train(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", lang: str
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text", doc_id: str = "doc_id", penalty: float = SWITCH_PENALTY, spans: bool = True) -> DataFrame:
-    """doc_id, lang_pred, score and, if asked for, spans (lang, first and last word) of every row.
+    """doc_id, lang_pred, score, evidence and, if asked for, spans (lang, first and last word) of every row.
 
-    lang_pred is the language of most letters, ties to the first in code point order; score is that share. Null texts,
-    texts without a letter, and any text if nothing was learned, get ``und`` with score 0 and no spans. Words without a
-    letter belong to the span around them. Rows that repeat a doc_id, or have none, are judged each by its own text. An
-    empty table gives no rows. Texts of any length are labelled whole. Other columns are not looked at.
+    lang_pred is the language of most letters, ties to the first in code point order; score is that share; evidence is
+    the mean score of the words with letters, each in the language of its span. Null texts, texts without a letter, and
+    any text if nothing was learned, get ``und`` with score and evidence 0 and no spans. Words without a letter belong to
+    the span around them. Rows that repeat a doc_id, or have none, are judged each by its own text. An empty table gives
+    no rows. Texts of any length are labelled whole. Other columns are not looked at.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # 2**TABLE_BITS scores for each language, whatever the input
-    schema = "doc_id long, lang_pred string, score double" + ", spans array<struct<lang: string, first_word: long, last_word: long>>" * spans
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # MOST_CELLS scores at most, or 2**LEAST_BITS for each language
+    schema = "doc_id long, lang_pred string, score double, evidence double" + ", spans array<struct<lang: string, first_word: long, last_word: long>>" * spans
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(_label(shared, penalty, spans), schema)
 
 
-def identified(docs: DataFrame, model: Model, text: str = "text", penalty: float = SWITCH_PENALTY) -> DataFrame:
-    """The rows of docs, with all their columns, whose language identify() can tell."""
+def identified(docs: DataFrame, model: Model, text: str = "text", penalty: float = SWITCH_PENALTY, least: float = LEAST_EVIDENCE) -> DataFrame:
+    """The rows of docs, with all their columns, whose language identify() can tell: a learned one, with evidence of ``least`` or more.
+
+    Texts of letters that make no words of a learned language have evidence about 0 and go, as do null and blank texts
+    and those without a letter. If nothing was learned there is nothing to go by, and all rows with a letter stay. An
+    empty table gives no rows. Columns may have any names.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    names = [f"c{i}" for i in range(len(docs.columns))]
-    rows = docs.select(F.lit(0).cast("long").alias("id"), F.col(text).alias("t"), *[F.col(c).alias(n) for c, n in zip(docs.columns, names, strict=True)])
-    schema = "doc_id long, lang_pred string, score double, " + ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, docs.schema, strict=True))
-    found = rows.mapInArrow(_label(shared, penalty, False), schema).filter(F.col("lang_pred") != UNKNOWN)
-    return found.select(*[F.col(n).alias(c) for c, n in zip(docs.columns, names, strict=True)])
+    rows = docs.select(F.lit(0).cast("long").alias("id"), F.col(text).alias("t"), F.struct("*").alias("row"))
+    if not model.langs:
+        return rows.filter(F.col("t").rlike(r"\p{L}")).select("row.*")
+    schema = StructType([StructField("doc_id", LongType()), StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("evidence", DoubleType()), rows.schema["row"]])
+    return rows.mapInArrow(_label(shared, penalty, False), schema).filter((F.col("lang_pred") != UNKNOWN) & (F.col("evidence") >= least)).select("row.*")
 
 
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:

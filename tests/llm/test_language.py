@@ -3,6 +3,8 @@ import zlib
 
 import numpy as np
 import pytest
+import regex
+from pyspark.sql import functions as F
 
 from quire.llm import language
 
@@ -40,8 +42,6 @@ def test_viterbi():
 def training(spark):
     en, de = "the and of with that this which water", "der und die das nicht wasser über schön"
     rows = [(i, (en if i % 2 else de) + " " + " ".join((en if i % 2 else de).split()[: i % 7 + 1])) for i in range(1, 60)]
-    from pyspark.sql import functions as F
-
     df = documents(spark, rows)
     return df.withColumn("lang", F.when(F.col("doc_id") % 2 == 1, "en").otherwise("de"))
 
@@ -59,7 +59,13 @@ def test_spans_and_odd_texts(spark):
     assert got[92]["lang_pred"] in ("de", "en") and 0 <= got[92]["score"] <= 1
     assert len(got) == len(rows)
     kept = language.identified(documents(spark, rows), model)
-    assert kept.columns == documents(spark, rows).columns and {r["doc_id"] for r in kept.collect()} == {i for i, _ in rows} - {4, 5, 6, 15, 91}
+    assert kept.columns == documents(spark, rows).columns and {r["doc_id"] for r in kept.collect()} == {i for i, _ in rows} - {4, 5, 6, 13, 15, 91, 92}  # 13 and 92 are of no learned language
+    odd = documents(spark, rows).select("doc_id", "text", F.lit(1).alias("a b:c"), F.lit(2).alias("row"), F.lit(3).alias("t"))
+    assert language.identified(odd, model).columns == odd.columns
+    # nothing was learned: what has a letter stays
+    nothing = language.train(empty(spark))
+    assert {r["doc_id"] for r in language.identified(documents(spark, rows), nothing).collect()} == {i for i, _ in rows} - {4, 5, 6, 15, 91}
+    assert language.identified(empty(spark), model).count() == 0
 
 
 def test_repeated_empty_and_untrained(spark):
@@ -71,10 +77,47 @@ def test_repeated_empty_and_untrained(spark):
 
 
 def test_scripts():
-    rows, cells, script, n = language._grams(["abc", "мир", "漢字", "ß"])
+    rows, cells, script, n = language._grams(["abc", "мир", "漢字", "ß"], 18)
     assert [language.SCRIPTS[s] for s in script] == ["latin", "cyrillic", "han", "latin"] and n.tolist() == [3, 3, 2, 1]
 
 
+def test_rare_and_many_languages(spark):
+    """A language of one document among many is learned; tables shrink as languages grow in number."""
+    rows = [(i, "the water and that which") for i in range(400)] + [(1000, "zxqj zxqv jqxz")]
+    df = documents(spark, rows).withColumn("lang", F.when(F.col("doc_id") == 1000, "xx").otherwise("en"))
+    model = language.train(df, sample=20)
+    assert model.langs == ["en", "xx"]
+    assert {r["lang_pred"] for r in language.identify(documents(spark, [(1, "jqxz zxqj")]), model).collect()} == {"xx"}
+    many = documents(spark, [(i, f"w{i} x{i} the") for i in range(300)]).withColumn("lang", F.concat(F.lit("l"), F.col("doc_id").cast("string")))
+    model = language.train(many)
+    assert len(model.langs) > 200 and model.scores.size <= language.MOST_CELLS and language.table_bits(4) == language.TABLE_BITS
+    assert language.identify(many, model).count() == 300
+
+
+def plain_prediction(model, text):
+    """The language of most letters by a step-by-step reading: words, scores, Viterbi."""
+    words = (text or "").split()
+    scored = [(language._letters(w), w) for w in words if regex.search(r"\p{L}", w)]
+    if not scored:
+        return "und", 0.0
+    table, sizes = model.word_scores([x for x, _ in scored])
+    path, _ = slow_viterbi(table.astype(float), language.SWITCH_PENALTY)
+    votes = np.bincount(path, sizes, len(model.langs))
+    return model.langs[int(votes.argmax())], float(votes.max() / votes.sum())
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tables are not here")
+def test_predictions_against_a_plain_reading(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = language.train(docs)
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    got = language.identify(docs, model, spans=False).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        lang, score = plain_prediction(model, texts[r["doc_id"]])
+        assert r["lang_pred"] == lang and abs(r["score"] - score) < 0.02, r
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tables are not here")
 def test_held_out_accuracy(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
