@@ -17,6 +17,11 @@ def strip(c: Column | str) -> Column:
     return F.regexp_replace(col(c), rf"\A{WS}+|{WS}+\z", "")
 
 
+def is_said(c: Column | str) -> Column:
+    """Whether strip() leaves anything."""
+    return col(c).rlike(f"[^{WS[1:-1]}]")
+
+
 def normalize_whitespace(c: Column | str) -> Column:
     """Runs of white space become one space; none at either end."""
     return F.trim(F.regexp_replace(col(c), f"{WS}+", " "))

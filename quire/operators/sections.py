@@ -7,18 +7,23 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.functions.constants import FRONT_MATTER, FRONT_PAGES, FRONT_WORDS, SECTION_NAMES
-from quire.functions.text import lines, strip, word_count
+from quire.functions.constants import FRONT_MATTER, FRONT_PAGES, FRONT_WORDS, LINE_END, SECTION_NAMES, WS
+from quire.functions.text import col, is_said, lines, strip, word_count
 
 SECTION = ["book", "number", "title", "start_page", "end_page"]
 #: Methods in the order in which they are tried.
 METHODS = ["toc", "layout", "regex", "article_headings"]
+# The patterns of headings.
 _WORD_CHARS = r"[\pL\pN_]"
 CHAPTER = rf"(?i)^(?:(?:chapter|part)[\s]+{_WORD_CHARS}+|(?:[0-9]+\.\s*)?chapter\s+[0-9]+)"
 NAMED = rf"(?i)\A(?:[0-9]+(?:\.[0-9]+)*\.?\s+)?(?:{'|'.join(SECTION_NAMES)})\z"
 NUMBERED = r"\A[0-9]+(?:\.[0-9]+){0,3}\.?\s+[A-Z][A-Za-z0-9][A-Za-z0-9,'’\- ]{1,70}\z"
 
 
+#: A line may be a chapter's heading only in a text that this finds; one look at the text spares most pages the work by line.
+_MAYBE_CHAPTER = rf"(?i)(?:\A|{LINE_END}){WS}*(?:chapter|part|[0-9]+\.\s*chapter)"
+
+
 def _first(found: Column) -> Column:
     return F.get(found, F.lit(0))
 
@@ -26,12 +31,13 @@ def _first(found: Column) -> Column:
 def heading_regex(text: Column | str) -> Column:
     """The first line of up to 80 characters that starts like a chapter or part; null if none does."""
     held = F.transform(lines(text), strip)
-    return _first(F.filter(held, lambda x: (x != "") & (F.length(x) <= 80) & x.rlike(CHAPTER)))
+    found = _first(F.filter(held, lambda x: (x != "") & (F.length(x) <= 80) & x.rlike(CHAPTER)))
+    return F.when(col(text).rlike(_MAYBE_CHAPTER), found)
 
 
 def heading_article(text: Column | str) -> Column:
     """Among the first six non-blank lines the first, of up to 80 characters, that names a section or is a numbered title."""
-    held = F.slice(F.filter(F.transform(lines(text), strip), lambda x: x != ""), 1, 6)
+    held = F.transform(F.slice(F.filter(lines(text), is_said), 1, 6), strip)
     numbered = lambda x: (F.length(x) >= 8) & (word_count(x) <= 8) & x.rlike(NUMBERED)
     return _first(F.filter(held, lambda x: (F.length(x) <= 80) & (x.rlike(NAMED) | numbered(x))))
 
@@ -113,8 +119,15 @@ def detect_sections(books: DataFrame, pages: DataFrame, toc: DataFrame, blocks:
     All methods are computed over all books; a book takes the first by METHODS. Front matter is taken off what outlines,
     layout and chapter headings give, not off article headings.
     """
-    by = {"toc": sections_toc(toc, books), "layout": sections_layout(blocks, books), "regex": sections_regex(pages, books), "article_headings": sections_article(pages, books)}
-    every = reduce(DataFrame.unionByName, [df.withColumn("detection_method", F.lit(m)).withColumn("turn", F.lit(i)) for i, (m, df) in enumerate(by.items())])
+    starts = lambda df, ix: df.select("book", F.col(ix).alias("ix"), "title", "page")
+    heads = pages.select("book", "page", F.explode(F.array(*[F.struct(F.lit(m).alias("m"), h("text").alias("title")) for m, h in (("regex", heading_regex), ("article_headings", heading_article))])).alias("h"))
+    heads = heads.filter("h.title is not null").select("book", F.col("page").alias("ix"), "h.title", "page", F.col("h.m").alias("method"))  # both in one reading of the pages
+    rows = starts(scan_toc(toc), "toc_ix").withColumn("method", F.lit("toc")).unionByName(starts(heading_layout(blocks), "page").withColumn("method", F.lit("layout"))).unionByName(heads)
+    # a book and a method are one book to sections_from_starts()
+    as_books = books.select("book", "total_pages", F.explode(F.array(*map(F.lit, METHODS))).alias("method")).select(F.struct("book", "method").alias("book"), "total_pages")
+    found = sections_from_starts(rows.select(F.struct("book", "method").alias("book"), "ix", "title", "page"), as_books)
+    turn = F.array_position(F.array(*map(F.lit, METHODS)), F.col("book.method"))
+    every = found.select(F.col("book.book").alias("book"), "number", "title", "start_page", "end_page", F.col("book.method").alias("detection_method"), turn.alias("turn"))
     counted = every.withColumn("n", F.count("*").over(Window.partitionBy("book", "turn"))).filter("n >= 2")
     chosen = counted.withColumn("best", F.min("turn").over(Window.partitionBy("book"))).filter("turn = best")
     starts = content_start(pages, books)

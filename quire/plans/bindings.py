@@ -14,10 +14,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Documents of a source that one task numbers.
+NUMBERED = 1 << 16
+
+
 def src_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A source is a book, its documents the pages."""
-    order = Window.partitionBy("source").orderBy("doc_id")
-    return table(spark, sf_dir, "documents").select(F.col("source").alias("book"), F.row_number().over(order).cast("long").alias("page"), "text")
+    """A source is a book, its documents the pages, numbered by doc_id: a range of ids counts on from those before it, so that no task holds a source."""
+    docs = table(spark, sf_dir, "documents").select(F.col("source").alias("book"), "doc_id", "text", F.floor(F.col("doc_id") / NUMBERED).alias("ids"))
+    sums = docs.groupBy("book", "ids").agg(F.count("*").alias("n"))
+    before = sums.select(F.col("book").alias("b"), F.col("ids").alias("i"), (F.sum("n").over(Window.partitionBy("book").orderBy("ids")) - F.col("n")).alias("before"))  # a row for each source and range
+    place = F.row_number().over(Window.partitionBy("book", "ids").orderBy("doc_id"))
+    numbered = docs.withColumn("place", place).join(before, F.col("book").eqNullSafe(F.col("b")) & F.col("ids").eqNullSafe(F.col("i")))
+    return numbered.select("book", (F.col("before") + F.col("place")).cast("long").alias("page"), "text")
+
+
+def src_books(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """books_of(src_pages()) without the numbering."""
+    return table(spark, sf_dir, "documents").groupBy(F.col("source").alias("book")).agg(F.count("*").alias("total_pages"))
 
 
 def books_of(pages: DataFrame) -> DataFrame:
@@ -31,9 +44,10 @@ def ordinals(books: DataFrame) -> DataFrame:
 
 def doc_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A document is a book, five lines a page."""
-    lines = F.split("text", "\n", -1)
-    page = F.explode(F.sequence(F.lit(1), F.ceil(F.size("lines") / 5).cast("int")))
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("book"), lines.alias("lines")).select("book", "lines", page.alias("p")).select("book", F.col("p").cast("long").alias("page"), F.array_join(F.slice("lines", (F.col("p") - 1) * 5 + 1, F.lit(5)), "\n").alias("text"))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("book"), F.split("text", "\n", -1).alias("lines"))
+    starts = F.sequence(F.lit(1), F.size("lines"), F.lit(5))
+    cut = docs.select("book", F.posexplode(F.transform(starts, lambda i: F.array_join(F.slice("lines", i, F.lit(5)), "\n"))).alias("p", "text"))
+    return cut.select("book", (F.col("p") + 1).cast("long").alias("page"), "text")
 
 
 def conv_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,7 +80,7 @@ def annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
 def head_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """B-SRC with headings as first lines of every tenth page."""
     pages = src_pages(spark, sf_dir)
-    own = pages.join(ordinals(books_of(pages)), "book").withColumn("k", F.floor(F.col("page") / 10) + 1)
+    own = pages.join(ordinals(src_books(spark, sf_dir)), "book").withColumn("k", F.floor(F.col("page") / 10) + 1)
     k = F.col("k").cast("string")
     line = F.when(F.col("ordinal") % 2 == 0, F.concat(F.lit("Chapter "), k)).when(F.col("k") % 2 == 1, F.concat(k, F.lit(". Methods"))).otherwise(F.concat(F.lit("2."), k, F.lit(" Participants")))
     return own.select("book", "page", "ordinal", F.when(F.col("page") % 10 == 1, F.concat(line, F.lit("\n"), "text")).otherwise(F.col("text")).alias("text"))
@@ -74,16 +88,16 @@ def head_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def toc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Outlines of every fourth book, with a blank title, a page 0 and a page twice."""
-    books = ordinals(books_of(src_pages(spark, sf_dir))).filter("ordinal % 4 = 0")
+    books = ordinals(src_books(spark, sf_dir)).filter("ordinal % 4 = 0")
     e = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("total_pages") - 1) / 12)))
     good = books.select("book", e.alias("toc_ix")).select("book", "toc_ix", F.concat(F.lit(" Part "), F.col("toc_ix").cast("string")).alias("title"), (1 + 12 * F.col("toc_ix")).alias("page"))
     odd = F.explode(F.array(*[F.struct(F.lit(i).cast("long").alias("toc_ix"), F.lit(t).alias("title"), F.lit(p).cast("long").alias("page")) for i, t, p in ((100000, " ", 5), (100001, "Zero", 0), (100002, "Again", 13))]))
     return good.unionByName(books.select("book", odd.alias("o")).select("book", "o.*"))
 
 
-def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A block for each line of the pages with headings; first lines are set large."""
-    one = head_pages(spark, sf_dir).select("book", "page", F.posexplode(F.split("text", "\n", -1)).alias("block_ix", "line"))
+def blocks(spark: SparkSession, sf_dir: str, pages: DataFrame | None = None) -> DataFrame:
+    """A block for each line of the pages with headings (head_pages(), if they are not given); first lines are set large."""
+    one = (head_pages(spark, sf_dir) if pages is None else pages).select("book", "page", F.posexplode(F.split("text", "\n", -1)).alias("block_ix", "line"))
     return one.select("book", "page", "block_ix", (60.0 + 16 * F.col("block_ix")).alias("y0"), F.lit(792.0).alias("page_height"), F.array(F.struct(F.col("line").alias("text"), F.when(F.col("block_ix") == 0, 14.0).otherwise(10.0).alias("size"))).alias("spans"))
 
 

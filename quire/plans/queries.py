@@ -13,6 +13,7 @@ from quire.operators import cleaning, compare, draw, estimate, place, provider,
 from quire.plans import bindings as B
 from quire.plans.bindings import sql_lines, sql_norm, sql_strip, sql_words
 from quire.sources import files
+from quire.sources.store import settled
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -249,7 +250,7 @@ SEC = "book, number, title, start_page, end_page"
 
 
 def _src_books(spark, d):
-    return B.books_of(B.src_pages(spark, d))
+    return B.src_books(spark, d)
 
 
 @query("scan_toc", f"WITH {B.SRC}, {B.TOC} SELECT book, toc_ix, {sql_strip('title')} AS title, page FROM toc WHERE {sql_strip('title')} <> '' AND page >= 1")
@@ -281,14 +282,14 @@ def sections_article(spark, d):
 def sections_from_starts(spark, d):
     pages = B.src_pages(spark, d)
     starts = pages.filter("page % 2 = 0").select("book", F.col("page").alias("ix"), F.concat(F.lit("Page "), F.col("page").cast("string")).alias("title"), (F.floor(F.col("page") / 3) * 3 + 1).alias("page"))
-    return sections.sections_from_starts(starts, B.books_of(pages))
+    return sections.sections_from_starts(starts, B.src_books(spark, d))
 
 
 @query("sections_from_all_starts", f"WITH {B.SRC}, {_sections_sql('sec', "SELECT book, page AS ix, 'Page ' || page AS title, (page // 3) * 3 + 1 AS page FROM src")} SELECT {SEC} FROM sec")
 def sections_from_all_starts(spark, d):
     pages = B.src_pages(spark, d)
     starts = pages.select("book", F.col("page").alias("ix"), F.concat(F.lit("Page "), F.col("page").cast("string")).alias("title"), (F.floor(F.col("page") / 3) * 3 + 1).alias("page"))
-    return sections.sections_from_starts(starts, B.books_of(pages))
+    return sections.sections_from_starts(starts, B.src_books(spark, d))
 
 
 FRONT_SQL = f"({sql_words('text')} < 150 OR regexp_matches(lower(text), '{'|'.join(C.FRONT_MATTER)}'))"
@@ -302,8 +303,7 @@ def front_matter_page(spark, d):
 
 @query("content_start", f"WITH {B.HEAD}, {STARTS} SELECT book, content_start::BIGINT AS content_start FROM starts")
 def content_start(spark, d):
-    pages = B.head_pages(spark, d)
-    return sections.content_start(pages, B.books_of(pages))
+    return sections.content_start(B.head_pages(spark, d), B.src_books(spark, d))
 
 
 def _excluded_sql(name: str, source: str) -> str:
@@ -314,15 +314,13 @@ def _excluded_sql(name: str, source: str) -> str:
 
 @query("exclude_front_matter", f"WITH {B.HEAD}, {B.TOC}, {TOC_SEC}, {STARTS}, {_excluded_sql('ex', 'sec_toc')} SELECT {SEC} FROM ex")
 def exclude_front_matter(spark, d):
-    pages = B.head_pages(spark, d)
-    books = B.books_of(pages)
+    pages, books = B.head_pages(spark, d), B.src_books(spark, d)
     return sections.exclude_front_matter(sections.sections_toc(B.toc(spark, d), books), sections.content_start(pages, books))
 
 
 @query("fallback_section", f"WITH {B.HEAD}, {STARTS} SELECT book, 1::BIGINT AS number, 'Full document' AS title, content_start AS start_page, total_pages AS end_page FROM starts JOIN src_books USING (book)")
 def fallback_section(spark, d):
-    pages = B.head_pages(spark, d)
-    books = B.books_of(pages)
+    pages, books = B.head_pages(spark, d), B.src_books(spark, d)
     return sections.fallback_section(books, sections.content_start(pages, books))
 
 
@@ -335,14 +333,14 @@ found AS (SELECT {SEC}, ['toc', 'layout', 'regex'][turn + 1] AS detection_method
 
 @query("detect_sections", f"WITH {B.HEAD}, {B.TOC}, {B.BLOCKS}, {CASCADE} SELECT * FROM found UNION ALL SELECT book, 1, 'Full document', content_start, total_pages, 'fallback' FROM src_books JOIN starts USING (book) WHERE book NOT IN (SELECT book FROM found)")
 def detect_sections(spark, d):
-    pages = B.head_pages(spark, d)
-    return sections.detect_sections(B.books_of(pages), pages, B.toc(spark, d), B.blocks(spark, d))
+    pages = settled(B.head_pages(spark, d), "pages")  # five methods read them
+    return sections.detect_sections(B.src_books(spark, d), pages, B.toc(spark, d), B.blocks(spark, d, pages))
 
 
 @query("join_pages_sections", f"WITH {B.SRC}, {B.TOC}, {TOC_SEC} SELECT p.book, p.page, s.number FROM src p JOIN sec_toc s ON p.book = s.book AND p.page BETWEEN s.start_page AND s.end_page")
 def join_pages_sections(spark, d):
     pages = B.src_pages(spark, d)
-    return sections.join_pages_sections(pages, sections.sections_toc(B.toc(spark, d), B.books_of(pages))).select("book", "page", "number")
+    return sections.join_pages_sections(pages, sections.sections_toc(B.toc(spark, d), B.src_books(spark, d))).select("book", "page", "number")
 
 
 # ---- selection, estimates, chunks

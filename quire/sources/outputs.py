@@ -41,3 +41,9 @@ def delete_chapter_outputs(spark: SparkSession, folder: str, stem: str) -> int:
     if not any(s.isDirectory() for s in fs.listStatus(top)):
         fs.delete(top, True)
     return gone
+
+
+def finalize_chapter_outputs(spark: SparkSession, folder: str, stem: str, master: str) -> int:
+    """Once ``master`` is written, removes the chapter files that went into it; how many went. Without a master they stay."""
+    path, fs = _path(spark, master)
+    return delete_chapter_outputs(spark, folder, stem) if fs.exists(path) else 0
