@@ -27,6 +27,9 @@ SUBSTITUTIONS = [("“", '"'), ("”", '"'), ("‘", "'"), ("’", "'"), ("–",
 TOP_FIELDS = ["chapter_number", "chapter_title", "start_page", "end_page", "annotations"]
 ROW_FIELDS = ["page", "book_text", "annotation", "category", "grounding"]
 
+# Small letters that Unicode's case folding takes for others.
+FOLDED = [("ς", "σ"), ("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬃ", "ffi"), ("ﬄ", "ffl"), ("ﬅ", "st"), ("ﬆ", "st"), ("ſ", "s"), ("ŉ", "ʼn")]
+
 # Formats, rates and limits.
 EXTENSIONS = [".pdf", ".epub", ".mobi", ".txt", ".azw", ".azw3"]
 QUALITY_FACTORS = {"low": 0.85, "medium": 1.0, "high": 1.35}

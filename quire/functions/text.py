@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quire.functions.constants import LINE_END, SUBSTITUTIONS, UNKNOWN, WS
+from quire.functions.constants import FOLDED, LINE_END, SUBSTITUTIONS, UNKNOWN, WS
 
 
 def col(c: Column | str) -> Column:
@@ -28,8 +28,12 @@ def normalize_whitespace(c: Column | str) -> Column:
 
 
 def casefold(c: Column | str) -> Column:
-    """lower(), and the sharp s as two; exact for the Latin alphabets."""
-    return F.replace(F.lower(col(c)), F.lit("ß"), F.lit("ss"))
+    """lower(), and the letters that fold to others: sharp s, final sigma, Latin ligatures. Exact for Latin, Greek and Cyrillic."""
+    low = F.replace(F.lower(col(c)), F.lit("ß"), F.lit("ss"))
+    folded = low
+    for sign, plain in FOLDED:
+        folded = F.replace(folded, F.lit(sign), F.lit(plain))
+    return F.when(low.rlike("[" + "".join(sign for sign, _ in FOLDED) + "]"), folded).otherwise(low)
 
 
 def normalize_quote(c: Column | str) -> Column:

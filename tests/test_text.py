@@ -55,3 +55,10 @@ def test_preview_stem_color_page(spark):
 def test_quote_in_text(spark, quote, text, expected):
     row = spark.range(1).select(T.quote_in_text(F.lit(quote), F.lit(text)).alias("y")).first()
     assert row["y"] is expected
+
+
+def test_casefold_is_that_of_unicode(spark):
+    words = ["Straße", "ΟΔΥΣΣΕΥΣ", "ὀδυσσεύς", "ﬁne ﬂow oﬀ eﬃcient ﬄ ﬅ ﬆ", "ŉ ſ", "ÄÖÜ éà", "ЖЁЙ", "", "plain"]
+    df = spark.createDataFrame(list(enumerate(words)), "i int, w string")
+    got = {r["i"]: r["f"] for r in df.select("i", T.casefold("w").alias("f")).collect()}
+    assert got == {i: w.casefold() for i, w in enumerate(words)}
