@@ -168,7 +168,8 @@ def _compared(files: DataFrame, made: list, n_files: int, found: dict[str, int],
     fits = F.transform(F.filter(every, lambda x: could(x) & (held(x["own"], F.col("known")) >= x["need"])), lambda x: x["rule"])
     # outer: of an inner one Spark takes the filter apart and reads the terms anew for each comparison
     rows = rows.select("path", "text", "terms", F.explode_outer(fits).alias("rule")).filter("rule is not null")
-    rows = rows.select("path", F.xxhash64("path", "text").alias("id"), F.regexp_count("text", F.lit(WORD)).alias("words"), "terms", "rule")
+    # written: read three times below, and few rows
+    rows = settled(rows.select("path", F.xxhash64("path", "text").alias("id"), F.regexp_count("text", F.lit(WORD)).alias("words"), "terms", "rule"), "candidates")
     rows = rows.join(F.broadcast(spark.createDataFrame(rule, schema)), "rule").select("path", "id", "words", "terms", F.struct("rule", "kind", "n", "need", "own", "keys").alias("r"))
     size = F.size("terms")
     at = F.filter(F.transform("terms", lambda x, i: F.when(F.array_contains("r.keys", x), i)), lambda i: i.isNotNull())
@@ -263,7 +264,12 @@ def scan(files: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     chain = F.when(F.col("dir") == "", F.array(F.lit(""))).otherwise(F.concat(F.array(F.lit("")), F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/"))))
     reach = places.select("dir", F.posexplode(chain).alias("depth", "above")).join(covered, "above")
     nearest = reach.groupBy("dir").agg(F.max(F.struct("depth", "dir_licence", "dir_path")).alias("top")).select("dir", "top.dir_licence", "top.dir_path")
-    out = files.select("path", directory(F.col("path")).alias("dir")).join(own.drop("dir"), "path", "left").join(nearest, "dir", "left")
+    here = files.select("path", directory(F.col("path")).alias("dir"))
+    base = here.join(own.drop("dir"), "path", "left")
+    # directories of more than a thousandth of all files, of which there are fewer than a thousand, are sent to their files
+    large = settled(here.groupBy("dir").agg(F.count("*").alias("n")).filter(F.col("n") * 1000 > n_files).select("dir"), "large")
+    given = settled(nearest.join(F.broadcast(large), "dir", "left_semi"), "given")
+    out = base.join(F.broadcast(large), "dir", "left_semi").join(F.broadcast(given), "dir", "left").unionByName(base.join(F.broadcast(large), "dir", "left_anti").join(nearest, "dir", "left"))
     return out.select(
         "path", "own_licence", "own_score", F.coalesce("own_licence", "dir_licence").alias("licence"),
         F.when(F.col("own_licence").isNotNull(), F.when(F.col("is_file"), "file").otherwise("statement")).when(F.col("dir_licence").isNotNull(), "directory").otherwise("none").alias("basis"),
