@@ -123,11 +123,13 @@ def mixed_documents(
     hash, each its own copies. Columns may have any names. Other cases as in mix().
     """
     placed = _placed(docs, weights, share, most, text, doc_id, source, seed)
-    keys = placed.groupBy("source", "size", "doc_id").agg(F.min("place").alias("first"), F.first("ratio").alias("ratio"), F.first("offset").alias("offset"))
-    rows = docs.select(F.struct("*").alias("all"), F.col(doc_id).cast("long").alias("r_id"), F.col(source).alias("r_source"), word_count(text).alias("r_size"), F.xxhash64(text).alias("r_hash"))
-    both = rows.join(keys, F.col("doc_id").eqNullSafe(F.col("r_id")) & F.col("source").eqNullSafe(F.col("r_source")) & (F.col("size") == F.col("r_size")))
-    nth = F.row_number().over(Window.partitionBy("r_id", "r_source", "r_size").orderBy("r_hash"))
-    taken = both.withColumn("copies", _copies(F.col("first") + nth - 1, most)).filter("copies > 0")
+    # keys without nulls: joined by equality, the rows lie as the numbering below wants them
+    key = lambda i, s, n: [F.coalesce(i, F.lit(0)).alias("k_id"), i.isNull().alias("k_no_id"), F.coalesce(s, F.lit("")).alias("k_source"), s.isNull().alias("k_no_source"), n.alias("k_size")]
+    names = ["k_id", "k_no_id", "k_source", "k_no_source", "k_size"]
+    firsts = placed.groupBy(*key(F.col("doc_id"), F.col("source"), F.col("size"))).agg(F.min("place").alias("first"), F.first("ratio").alias("ratio"), F.first("offset").alias("offset"))
+    rows = docs.select(F.struct("*").alias("all"), F.xxhash64(text).alias("r_hash"), *key(F.col(doc_id).cast("long"), F.col(source), word_count(text)))
+    nth = F.row_number().over(Window.partitionBy(*names).orderBy("r_hash"))
+    taken = rows.join(firsts, names).withColumn("copies", _copies(F.col("first") + nth - 1, most)).filter("copies > 0")
     return taken.select("all", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("all.*")
 
 
