@@ -5,6 +5,8 @@ A word is a run of bytes other than 0x20 and 0x09-0x0D, so on UTF-8 it is ``[^\\
 
 from __future__ import annotations
 
+import ctypes
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,6 +21,7 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None) if os.name == "posix" else None  # glibc's
 _tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -48,6 +51,13 @@ def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     return up[:n], down[:n]
 
 
+def give_back() -> None:
+    """Returns freed memory to the system at the end of a task: the worker goes on to other work, beside others."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
 def texts(column: pa.Array | pa.ChunkedArray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, row past the last, bytes, offsets) of slices of a string or binary column; null is empty."""
     if isinstance(column, pa.ChunkedArray):

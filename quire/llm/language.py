@@ -242,6 +242,9 @@ def _label(model_of, penalty: float, spans: bool):
                     columns.append(batch.column(k).slice(at, to - at))
                     names.append(batch.schema.names[k])
                 yield pa.RecordBatch.from_arrays(columns, names=names)
+        known.clear()  # the worker may go on to other work
+        model.table, model.sizes = np.zeros((0, n_labels), np.float32), np.zeros(0, np.int64)
+        K.give_back()
 
     return run
 

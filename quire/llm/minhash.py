@@ -31,7 +31,7 @@ from quire.llm.components import components
 BANDS, ROWS = 32, 4
 BINS = BANDS * ROWS
 #: Members, and shingles of all members, that are compared with each other in one task.
-BLOCK, BLOCK_SHINGLES = 2048, 4 << 20
+BLOCK, BLOCK_SHINGLES = 2048, 1 << 20
 #: Columns of a matrix of sets that are multiplied at a time; a shingle of more than 1 / DENSE of the sets is such a column.
 COLUMNS, DENSE = 1024, 16
 _EDGES = (np.arange(BINS + 1, dtype=object) * (1 << 64) // BINS).tolist()
@@ -93,6 +93,7 @@ def _sign(width: int):
                     pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()),
                     pa.array([k.tobytes() if len(s) else None for k, s in zip(key, sets, strict=True)], pa.binary()),
                 ], names=["doc_id", "text_hash", "n_shingles", "digest", "keys"])
+        K.give_back()
 
     return run
 
@@ -108,33 +109,33 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
     """(n, n) numbers of hashes that each two sets share; each set's hashes are distinct."""
     n = len(sets)
-    of, values = np.repeat(np.arange(n), [len(s) for s in sets]), np.concatenate(sets)
+    values = np.concatenate(sets)
     order = np.argsort(values, kind="stable")
-    of, values = of[order], values[order]
-    new = np.append(True, values[1:] != values[:-1])
-    run = np.cumsum(new) - 1
+    of, values = np.repeat(np.arange(n, dtype=np.int32), [len(s) for s in sets])[order], values[order]
+    run = np.cumsum(np.append(True, values[1:] != values[:-1]), dtype=np.int32) - 1
+    del values, order
     times = np.bincount(run)
-    shared = np.zeros(n * n, np.int64)
-    some = (times > 1) & (times * DENSE <= n)
-    r, o = run[some[run]], of[some[run]]
-    at, step = np.arange(len(r)), 0  # a hash of few sets: its pairs one by one, by their distance in its run
+    shared = np.zeros(n * n, np.int32)
+    some = ((times > 1) & (times * DENSE <= n))[run]
+    r, o = run[some], of[some]
+    at, step = np.arange(len(r), dtype=np.int32), 0  # a hash of few sets: its pairs one by one, by their distance in its run
     while len(at):
         step += 1
         at = at[at + step < len(r)]
         at = at[r[at] == r[at + step]]
         if len(at):
-            code, counts = np.unique(o[at] * n + o[at + step], return_counts=True)
-            shared[code] += counts
+            code, counts = np.unique(o[at].astype(np.int64) * n + o[at + step], return_counts=True)
+            shared[code] += counts.astype(np.int32)
     shared = shared.reshape(n, n)
-    shared += shared.T
+    shared = shared + shared.T
     many = (times > 1) & (times * DENSE > n)
-    column = np.cumsum(many) - 1
-    c, o = column[run[many[run]]], of[many[run]]
+    some = many[run]
+    c, o = (np.cumsum(many, dtype=np.int32) - 1)[run[some]], of[some]
     for low in range(0, int(many.sum()), COLUMNS):  # a hash of many sets: a column of ones
         a, b = np.searchsorted(c, [low, low + COLUMNS])
         ones = np.zeros((n, COLUMNS), np.float32)
         ones[o[a:b], c[a:b] - low] = 1
-        shared += (ones @ ones.T).astype(np.int64)
+        shared += (ones @ ones.T).astype(np.int32)
     return shared
 
 
@@ -160,8 +161,15 @@ def _links(width: int, percent: int):
         nodes, labels = (np.asarray(table.column(c)) for c in ("node", "label"))
         sets = [s for _, _, data, offs in K.texts(table.column("text")) for s in shingles(data, offs, width)]
         sizes, shared = np.array([len(s) for s in sets]), shared_counts(sets)
-        linked = (100 * shared >= percent * (sizes[:, None] + sizes[None, :] - shared)) & (labels[:, None] != labels[None, :])
+        linked = np.empty(shared.shape, bool)
+        for a in range(0, len(nodes), 256):
+            b = slice(a, a + 256)
+            part = shared[b].astype(np.int64)
+            linked[b] = (100 * part >= percent * (sizes[b, None] + sizes[None, :] - part)) & (labels[b, None] != labels[None, :])
+        del shared, sets
         edges = np.array(forest(linked), np.int64).reshape(-1, 2)
+        if len(nodes) > 64:
+            K.give_back()
         return pa.table({"a": pa.array(nodes[edges[:, 0]], pa.int64()), "b": pa.array(nodes[edges[:, 1]], pa.int64())})
 
     return run
@@ -272,3 +280,17 @@ def deduplicated(docs: DataFrame, width: int = 5, percent: int = 80, text: str =
 
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), width=4)
+
+
+OP6_SQL = r"""
+WITH RECURSIVE one AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i, len(w) AS words
+  FROM (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents)),
+runs AS (SELECT doc_id, i, words, string_agg(word, ' ') OVER f AS k, count(*) OVER f AS n FROM one WINDOW f AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING)),
+sets AS (SELECT DISTINCT doc_id, k FROM runs WHERE n = 4 OR words < 4 AND i = 1),
+sizes AS (SELECT doc_id, count(*) AS size FROM sets GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS n FROM sets a JOIN sets b ON a.k = b.k AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+links AS (SELECT x, y FROM shared JOIN sizes a ON a.doc_id = x JOIN sizes b ON b.doc_id = y WHERE 100 * n >= 80 * (a.size + b.size - n)),
+both_ways AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach AS (SELECT doc_id, doc_id AS far FROM documents UNION SELECT r.doc_id, y FROM reach r JOIN both_ways ON x = far)
+SELECT doc_id, coalesce(any_value(size), 0)::BIGINT AS n_shingles, min(far) AS component_id, min(far) = doc_id AS kept FROM reach LEFT JOIN sizes USING (doc_id) GROUP BY doc_id
+"""

@@ -19,7 +19,7 @@ import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm._kernels import texts
+from quire.llm._kernels import give_back, texts
 
 #: Sequences of a partition, at most; sequence_id is partition * SPAN + number.
 SPAN = 1 << 33
@@ -295,7 +295,7 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 1, tex
             done(window)
         yield flush()
         enc.clear()  # the worker may go on to other work
-        pa.default_memory_pool().release_unused()
+        give_back()
 
     from pyspark.sql import functions as F
 

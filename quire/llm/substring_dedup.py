@@ -24,9 +24,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm import _kernels as K
+from quire.llm._store import freed, settled
 
 #: Windows that a map task holds before it sends them, and that a bucket gets on average, whatever the input's size.
-FLUSH_WINDOWS, BUCKET_WINDOWS = 1_500_000, 750_000
+FLUSH_WINDOWS, BUCKET_WINDOWS = 1_000_000, 750_000
 #: Bytes of text that stand for one window when buckets are counted out.
 WINDOW_BYTES = 6
 _BUCKET_BASE = 0xA24BAED4963EE407
@@ -110,6 +111,7 @@ def _windows(buckets: int, k: int, null_id: int):
                     n_docs = n_held = 0
         if held:
             yield from flush()
+        K.give_back()
 
     return run
 
@@ -200,6 +202,7 @@ def _cut(k: int, names: list[str], handed: list[str]):
             own = {n: batch.column(batch.schema.get_field_index(n)) for n in ("doc_id", *handed)}
             columns = [own["doc_id"], *(pa.array(new[n], types[n]) for n in names), *(own[n] for n in handed)]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", *names, *handed])
+        K.give_back()
 
     return run
 
@@ -237,7 +240,10 @@ def remove_repeats(docs: DataFrame, k: int = 20, text: str = "text", doc_id: str
     are handed on; others are not looked at. Sequences are compared by hashes of 64 bits and more, see above.
     """
     keyed, size, unique = _keyed(docs, text, doc_id)
-    marks = repeated_windows(keyed, size, k).select(F.col("doc_id").alias("__key"), F.col("text_hash").alias("__hash"), F.col("starts").alias("__starts"))
+    # written, so that the windows' shuffle files can go before the texts are dealt out
+    found = settled(repeated_windows(keyed, size, k), "repeats")
+    freed(docs.sparkSession)
+    marks = found.select(F.col("doc_id").alias("__key"), F.col("text_hash").alias("__hash"), F.col("starts").alias("__starts"))
     hashed = F.lit(0).cast("long") if unique else _text_hash(text)
     handed = [f"__c{i}" for i in range(len(carry))]
     rows = docs.select(
@@ -253,3 +259,13 @@ def remove_repeats(docs: DataFrame, k: int = 20, text: str = "text", doc_id: str
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+OP5_SQL = r"""
+WITH one AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM (SELECT doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM documents)),
+runs AS (SELECT doc_id, i, string_agg(word, ' ') OVER f AS k, count(*) OVER f AS n FROM one WINDOW f AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING)),
+later AS (SELECT doc_id, i, i AS start FROM runs WHERE n = 20 QUALIFY row_number() OVER (PARTITION BY k ORDER BY doc_id, i) > 1),
+marked AS (SELECT doc_id, i, word, coalesce(i - max(start) OVER (PARTITION BY doc_id ORDER BY i) < 20, false) AS gone FROM one LEFT JOIN later USING (doc_id, i))
+SELECT d.doc_id, count(word) AS n_words, count(*) FILTER (gone) AS n_removed, sha256(coalesce(string_agg(word, ' ' ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM documents d LEFT JOIN marked m ON m.doc_id = d.doc_id GROUP BY d.doc_id
+"""
