@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -51,3 +52,9 @@ def released(*tables: DataFrame) -> None:
     for df in tables:
         files, hadoop_path = _on(df.sparkSession, df._settled_at)
         files.delete(hadoop_path, True)
+
+
+def freed(spark: SparkSession) -> None:
+    """Has the driver look for what nothing refers to any more, so that shuffle files behind settled tables go at once, not at its next own collection."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
