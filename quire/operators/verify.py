@@ -22,31 +22,22 @@ def no_flags() -> Column:
     return F.array().cast("array<string>")
 
 
-#: Words in a row that a quote and its page are looked up by.
-RUN_WORDS = 3
-
-
-def _runs(words: Column) -> Column:
-    """Every RUN_WORDS words in a row."""
-    return F.when(F.size(words) >= RUN_WORDS, F.transform(F.sequence(F.lit(1), F.size(words) - RUN_WORDS + 1), lambda i: F.array_join(F.slice(words, i, F.lit(RUN_WORDS)), " "))).otherwise(no_flags())
-
-
 def quote_pages(quotes: DataFrame, pages: DataFrame) -> DataFrame:
     """(book, quote, p) of the pages that hold a quote, as it is or normalised, each once. quotes: (book, quote), distinct.
 
-    A page that holds a quote has all its words but the first and last as whole words in a row. So quotes of
-    RUN_WORDS + 2 words or more meet only the pages that have their longest inner run, by equality on book and run; the
-    shorter ones meet every page of their book.
+    A page that holds a quote has all its words but the first and last as whole words. So quotes of three words or more
+    meet only the pages that have their longest inner word, by equality on book and word; the shorter ones meet every
+    page of their book. Books without quotes are passed over.
     """
     wanted = quotes.filter(F.col("quote") != "").select("book", "quote", normalize_whitespace("quote").alias("plain_quote"), tokenize("quote").alias("words"))
-    runs = _runs(F.slice("words", 2, F.greatest(F.size("words") - 2, F.lit(0))))
-    keyed = wanted.withColumn("run", F.array_max(F.transform(runs, lambda r: F.struct(F.length(r).alias("n"), r.alias("r"))))["r"]).drop("words")
-    held = pages.select("book", F.col("page").alias("p"), "text", normalize_whitespace("text").alias("plain"))
+    inner = F.transform(F.slice("words", 2, F.greatest(F.size("words") - 2, F.lit(0))), lambda w: F.struct(F.length(w).alias("n"), w.alias("w")))
+    keyed = wanted.withColumn("word", F.array_max(inner)["w"]).drop("words")
+    held = pages.select("book", F.col("page").alias("p"), "text").join(keyed.select("book").distinct(), "book", "left_semi").withColumn("plain", normalize_whitespace("text"))
     hit = F.contains("text", F.col("quote")) | F.contains("plain", F.col("plain_quote"))
-    index = pages.select("book", F.col("page").alias("p"), tokenize("text").alias("words")).select("book", "p", F.explode(F.array_distinct(_runs(F.col("words")))).alias("run"))
-    near = keyed.filter("run is not null").join(index, ["book", "run"]).drop("run")
+    index = held.select("book", "p", F.explode(F.array_distinct(F.split("plain", " "))).alias("word"))
+    near = keyed.filter("word is not null").join(index, ["book", "word"]).drop("word")
     long = near.join(held, ["book", "p"]).filter(hit)
-    short = keyed.filter("run is null").drop("run").join(held, "book").filter(hit)
+    short = keyed.filter("word is null").drop("word").join(held, "book").filter(hit)
     return long.select("book", "quote", "p").unionByName(short.select("book", "quote", "p"))
 
 
@@ -80,9 +71,8 @@ def verify_quotes(rows: DataFrame, pages: DataFrame) -> DataFrame:
     hit = (F.col("book_text") != "") & (F.contains("text", F.col("book_text")) | F.contains("plain", F.col("plain_quote")))
     own = numbered.join(held.withColumnRenamed("book", "b"), (F.col("book") == F.col("b")) & (F.col("page") == F.col("p")) & F.col("page").between(F.col("start_page"), F.col("end_page")), "left")
     own = own.withColumn("is_own", F.coalesce(hit, F.lit(False))).drop("b", "p", "text", "plain")
-    lost = own.filter(~F.col("is_own") & (F.col("book_text") != C.UNKNOWN)).select("book", "chapter_number", "book_text", "start_page", "end_page").distinct()
-    places = quote_pages(lost.select("book", F.col("book_text").alias("quote")).distinct(), pages).withColumnRenamed("quote", "book_text")
-    found = lost.join(places, ["book", "book_text"]).filter(F.col("p").between(F.col("start_page"), F.col("end_page")))
+    lost = own.filter(~F.col("is_own") & (F.col("book_text") != C.UNKNOWN)).select("book", "chapter_number", "book_text", "plain_quote", "start_page", "end_page").distinct()
+    found = lost.join(held, "book").filter(F.col("p").between(F.col("start_page"), F.col("end_page"))).filter(hit)
     first = found.groupBy(*KEY, "book_text").agg(F.min("p").alias("first_page"))
     both = own.join(first, [*KEY, "book_text"], "left")
     state = (
